@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import benchmark
+from tessera.plans import benchmark, functions, relational
 
-MODULES = [benchmark]
+MODULES = [benchmark, relational, functions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
