@@ -19,10 +19,12 @@ def peek(changes: DataFrame, acknowledged: int, most: int = 4096) -> DataFrame:
 
 def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts and sums by tumbling window and type; on a stream, later rows than the watermark are dropped."""
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    w = w.withWatermark("ts", late) if w.isStreaming else w
     return w.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    w = events.withWatermark("ts", gap) if events.isStreaming else events
+    w = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    w = w.withWatermark("ts", gap) if w.isStreaming else w
     return w.groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("until"), "n")
