@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm.common import table
 from tessera.llm.memory import Memory
-from tessera.llm.ragged import gather, slices, words
+from tessera.llm.ragged import gather, slices, uncertain, words
 
 #: What \\s stands for in the vocabulary's normaliser: White_Space of Unicode.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -59,7 +59,8 @@ class WordBpe:
         self.reach: dict[str, int] = {}
         for t in self.ids:
             self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 0))
-        self.merger = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.merger = self.library.model
         model["model"]["end_of_word_suffix"] = None
         self.inner = Tokenizer.from_str(json.dumps(model)).model
         self.good = self.bad = np.empty(0, dtype=np.uint64)
@@ -166,7 +167,16 @@ class WordBpe:
         return got
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts (no nulls) one after the other, and where each text's begin (and the last ends)."""
+        """Tokens of all texts (no nulls) one after the other, and where each text's begin (and the last ends). Texts with characters that Unicode versions class otherwise are left to the library."""
+        texts = texts.cast(pa.string())
+        late = uncertain(texts)
+        if late:
+            own, ready = texts.to_pylist(), {}
+            for i in late:
+                ready[i], own[i] = np.asarray(self.library.encode(own[i], add_special_tokens=False).ids, dtype="<u4"), ""
+            ids, at = self.encode_all(pa.array(own, pa.string()))
+            each = [ready[i] if i in ready else ids[at[i] : at[i + 1]] for i in range(len(own))]
+            return np.concatenate(each), np.cumsum([0, *map(len, each)])
         unique, codes, begin = words(texts)
         data = self.learn(unique.to_pylist())
         sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4

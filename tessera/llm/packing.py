@@ -18,9 +18,10 @@ import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm.common import table, written
-from tessera.llm.ragged import gather, slices, words
+from tessera.llm.ragged import gather, slices, uncertain, words
 
 LENGTH = 1024
 END = 0
@@ -36,12 +37,13 @@ class ByteBpe:
     or with a special token, are encoded whole.
     """
 
-    def __init__(self, ranks: str, special: dict[str, int] | None = None):
+    def __init__(self, ranks: str, library: str, special: dict[str, int] | None = None):
         vocabulary = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}  # noqa: SIM115
         self.special = {"<|endoftext|>": 50256} if special is None else special
         self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens=self.special)
         top = max([*vocabulary.values(), *self.special.values()])
         self.kind = np.dtype("<u2" if top < 2**16 else "<u4")
+        self.library = Tokenizer.from_file(library)
         self.sizes = np.zeros(top + 1, dtype=np.int64)
         self.sizes[list(vocabulary.values())] = [len(k) for k in vocabulary]
 
@@ -56,7 +58,9 @@ class ByteBpe:
         return ids, np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
-        """The tokens of each text (no nulls)."""
+        """The tokens of each text (no nulls). Texts with characters that Unicode versions class otherwise are left to the library."""
+        texts = texts.cast(pa.string())
+        late = {*uncertain(texts)}
         unique, codes, begin = words(texts)
         odd = pc.not_equal(pc.binary_length(pc.utf8_trim(unique, WHITE)), pc.binary_length(unique))
         odd = pc.or_(odd, pc.equal(pc.binary_length(unique), 0))
@@ -76,7 +80,9 @@ class ByteBpe:
         flat, at = gather(ids, starts, sizes, codes)
         for i in range(len(texts)):
             a, b = begin[i], begin[i + 1]
-            if bad[b] > bad[a]:
+            if i in late:
+                out.append(np.asarray(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=self.kind))
+            elif bad[b] > bad[a]:
                 out.append(self.whole(texts[i].as_py()))
             else:
                 first = np.asarray(self.bpe.encode_ordinary(unique[int(codes[a])].as_py()), dtype=self.kind)  # has no space before it
@@ -90,7 +96,7 @@ _loaded: dict[str, ByteBpe] = {}
 def byte_bpe(name: str) -> ByteBpe:
     """One a worker process."""
     if name not in _loaded:
-        _loaded[name] = ByteBpe(public_tokenizers.path(name))
+        _loaded[name] = ByteBpe(public_tokenizers.path(name), public_tokenizers.path(name.replace(".tiktoken", ".json")))
     return _loaded[name]
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,3 +45,27 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, picks: np.
     total = int(ends[-1]) if len(ends) else 0
     at = np.arange(total, dtype=np.int64) + np.repeat(starts[picks] - (ends - n), n)
     return values[at], np.concatenate([[0], ends])
+
+
+@cache
+def _moved() -> re.Pattern:
+    """Letters, digits and marks that came after Unicode 3.2, and what is not assigned: libraries of other Unicode versions may class them otherwise."""
+    old, spans = unicodedata.ucd_3_2_0.category, []
+    for i in range(0x200, 0x110000):
+        c = chr(i)
+        now = unicodedata.category(c)
+        if now == "Cn" or now[0] in "LNM" and old(c) == "Cn":
+            if spans and spans[-1][1] == i - 1:
+                spans[-1][1] = i
+            else:
+                spans.append([i, i])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+
+
+def uncertain(texts: pa.Array) -> list[int]:
+    """Rows with characters that Unicode versions may class otherwise; they need the library itself."""
+    flat = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else [0]
+    if not (flat[ends[0] : ends[-1]] >= 0xC8).any():  # the first byte of U+0200
+        return []
+    return [i for i, t in enumerate(texts.to_pylist()) if not t.isascii() and _moved().search(t)]
