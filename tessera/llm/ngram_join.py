@@ -3,7 +3,7 @@
 A set's n-grams are put in one order for all documents: by how often their bucket of a sketch was met in the corpus, then by hash. Two sets
 that are similar enough share an n-gram of their prefixes, at places that leave room for the overlap that they need. Copies of a set are one class;
 classes with one prefix and one size are one group, and groups stand in the postings for their members. Group pairs are filtered by size and
-place, expanded to members, and verified on whole texts.
+place and parity bits, expanded to members, and verified on whole texts.
 
 A posting of m groups is not expanded to m * m pairs. First only neighbours in each posting are verified; connected components
 of the links so found make most postings one component. What is left are pairs in a posting whose components still differ: each row
@@ -26,6 +26,8 @@ from tessera.llm.common import components, salted_join, small_or_shuffled, table
 #: Buckets of the sketch that orders n-grams: its size is fixed, 8 bytes a bucket, and it is sent to every worker.
 BUCKETS = 2**20
 CHUNKS = 64
+#: 64-bit words of a set's parity bits.
+WORDS = 8
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -79,7 +81,10 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """docs(id, text) -> (id, size, set, pre, prefix): hashes of the whole set and of its prefix, and the prefix in order (binary, 64 bits each)."""
+    """docs(id, text) -> (id, size, set, pre, prefix, bits): hashes of the whole set and of its prefix, the prefix in order (binary, 64 bits each), and parity bits.
+
+    A parity bit says whether an odd number of n-grams fall on it: two sets differ in at least as many n-grams as their bits differ in places.
+    """
     order = docs.sparkSession.sparkContext.broadcast(sketch(docs, n))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +97,11 @@ def signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     s = len(h)
                     first = h[np.lexsort((h, counts[bucket(h)]))[: s - -(-num * s // den) + 1]] if s else h
                     raw = first.tobytes()
-                    out.append((s, xxhash.xxh3_128_digest(h.tobytes()), xxhash.xxh3_128_digest(raw), raw))
-                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary())))], ["id", "size", "set", "pre", "prefix"])
+                    odd = np.bincount((h % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+                    out.append((s, xxhash.xxh3_128_digest(h.tobytes()), xxhash.xxh3_128_digest(raw), raw, np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
+                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))))], ["id", "size", "set", "pre", "prefix", "bits"])
 
-    return written(docs.select("id", "text").mapInArrow(work, "id long, size long, set binary, pre binary, prefix binary"), "ngram-sets")
+    return written(docs.select("id", "text").mapInArrow(work, "id long, size long, set binary, pre binary, prefix binary, bits array<long>"), "ngram-sets")
 
 
 def postings(groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -192,15 +198,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     docs = docs.select(F.col("id").cast("long").alias("id"), "text")
     every = signed(docs, n, num, den)
     live = every.where("size > 0 AND id IS NOT NULL")
-    classes = written(live.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("pre").alias("pre")), "ngram-classes")
+    classes = written(live.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("pre").alias("pre"), F.min("bits").alias("bits")), "ngram-classes")
     groups = written(classes.groupBy("size", "pre").agg(F.min(F.struct("rep", "set")).alias("lead"), F.count(F.lit(1)).alias("members")), "ngram-groups")
     leads = groups.select(F.col("lead.rep").alias("gid"), F.col("lead.set").alias("set"))
     prefixes = every.select("id", "set", "size", "prefix").join(leads, (F.col("id") == F.col("gid")) & (every["set"] == leads["set"]), "inner").select("gid", "size", "prefix").dropDuplicates(["gid"])
     posts = postings(prefixes, num, den)
     members = salted_join(classes, groups.where("members > 1").select("size", "pre", F.col("lead.rep").alias("gid")), ["size", "pre"], "inner", F.col("rep")).select("gid", "rep", "size")
     members = written(members, "ngram-members")
+    bits = classes.select("rep", "size", "bits")
+    differ = " + ".join(f"bit_count(bx[{i}] ^ by[{i}])" for i in range(WORDS))
+    near = f"{den + num} * ({differ}) <= {den - num} * (sx + sy)"
     chain = posts.where("prev IS NOT NULL").select(F.least("prev", "gid").alias("a"), F.greatest("prev", "gid").alias("b")).union(chained(members)).where("a <> b").distinct()
-    tried = written(chain, "ngram-chain")
+    chain = chain.join(bits.select(F.col("rep").alias("a"), F.col("size").alias("sx"), F.col("bits").alias("bx")), "a").join(bits.select(F.col("rep").alias("b"), F.col("size").alias("sy"), F.col("bits").alias("by")), "b")
+    tried = written(chain.where(near).select("a", "b"), "ngram-chain")
     links = verified(tried, docs, n, num, den)
     found = components(links, "ngram-cc").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     # postings of groups as postings of members; a group of several is a posting of its own
@@ -211,10 +221,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     rows = salted_join(whole, found, ["rep"], "left", F.col("token")).select("token", "rep", "size", "pos", F.coalesce("comp", "rep").alias("comp"))
     rows = written(rows, "ngram-rows")
     mixed = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("top.comp").alias("top"))
-    rows = written(salted_join(rows, mixed, ["token"], "inner", F.col("rep")), "ngram-mixed")
-    few = rows.where("comp <> top").select("token", F.col("rep").alias("x"), F.col("size").alias("sx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
-    all_ = rows.select("token", F.col("rep").alias("y"), F.col("size").alias("sy"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
-    fits = f"cx <> cy AND {den} * least(sx, sy) >= {num} * greatest(sx, sy) AND {den + num} * (1 + least(sx - px - 1, sy - py - 1)) >= {num} * (sx + sy)"
+    rows = salted_join(rows, mixed, ["token"], "inner", F.col("rep"))
+    rows = written(rows.join(bits.select("rep", "bits"), "rep"), "ngram-mixed")
+    few = rows.where("comp <> top").select("token", F.col("rep").alias("x"), F.col("size").alias("sx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), F.col("bits").alias("bx"))
+    all_ = rows.select("token", F.col("rep").alias("y"), F.col("size").alias("sy"), F.col("pos").alias("py"), F.col("comp").alias("cy"), F.col("bits").alias("by"))
+    fits = f"cx <> cy AND {den} * least(sx, sy) >= {num} * greatest(sx, sy) AND {den + num} * (1 + least(sx - px - 1, sy - py - 1)) >= {num} * (sx + sy) AND {near}"
     second = few.join(all_, "token").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more_links = verified(second, docs, n, num, den)
     final = components(links.union(more_links), "ngram-cc").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
