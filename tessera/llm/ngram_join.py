@@ -5,9 +5,9 @@ that are similar enough share an n-gram of their prefixes, at places that leave
 classes with one prefix and one size are one group, and groups stand in the postings for their members. Group pairs are filtered by size and
 place and parity bits, expanded to members, and verified on whole texts.
 
-A posting of m groups is not expanded to m * m pairs. First only neighbours in each posting are verified; connected components
-of the links so found make most postings one component. What is left are pairs in a posting whose components still differ: each row
-that isn't in its posting's largest component meets all the others. So no link that joins two components can be missed, and what is
+A posting of m groups is not expanded to m * m pairs. First only neighbours in each posting are verified, then, while that finds links, all rows of
+a posting with a few of its rows; connected components of the links so found make most postings one component. What is left are pairs in a posting
+whose components still differ: each row that isn't in its posting's largest component meets all the others. So no link that joins two components can be missed, and what is
 written is in proportion to postings, and to the pairs of documents that share a prefix n-gram without being linked in any way.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, salted_join, small_or_shuffled, table, written
@@ -28,6 +28,9 @@ BUCKETS = 2**20
 CHUNKS = 64
 #: 64-bit words of a set's parity bits.
 WORDS = 8
+#: Rows of a posting's band of sizes that all its rows meet in a round, and the most rounds; what they leave is met in full, so the result doesn't depend on them.
+PIVOTS = 4
+ROUNDS = 2
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -188,6 +191,41 @@ def chained(members: DataFrame) -> DataFrame:
     return w.where("before IS NOT NULL").select(F.col("before").alias("a"), F.col("rep").alias("b"))
 
 
+def near(num: int, den: int) -> str:
+    """Whether parity bits bx and by of sets of sx and sy n-grams leave room for a link."""
+    differ = " + ".join(f"bit_count(bx[{i}] ^ by[{i}])" for i in range(WORDS))
+    return f"{den + num} * ({differ}) <= {den - num} * (sx + sy)"
+
+
+def fits(num: int, den: int) -> str:
+    """Whether x and y, of different components, pass the filters of size, place and parity bits."""
+    return f"cx <> cy AND {den} * least(sx, sy) >= {num} * greatest(sx, sy) AND {den + num} * (1 + least(sx - px - 1, sy - py - 1)) >= {num} * (sx + sy) AND {near(num, den)}"
+
+
+def side(v: str) -> list[Column]:
+    """A posting's row as one side of a pair."""
+    return [F.col("rep").alias(v), *(F.col(c).alias(c[0] + v) for c in ("size", "pos", "comp", "bits"))]
+
+
+def in_mixed_postings(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows(token, rep, ...) of postings with more than one component, with their own component and the posting's largest (comp, top)."""
+    rows = salted_join(rows, found, ["rep"], "left", F.col("token")).withColumn("comp", F.coalesce("comp", "rep"))
+    tops = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+    return salted_join(rows, tops.where("comps > 1").select("token", F.col("top.comp").alias("top")), ["token"], "inner", F.col("rep"))
+
+
+def with_pivots(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Each row of a posting beside PIVOTS rows that its band of sizes has drawn this turn: as many pairs as rows, times PIVOTS.
+
+    Any two sizes of a band are close enough for a link; every other turn moves the bands by half their width.
+    """
+    rows = rows.withColumn("band", F.floor(F.log("size") / F.log(F.lit(den / num)) + F.lit(turn % 2 / 2)))
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "rep").alias("draw"), *side("y"))) for i in range(PIVOTS)]
+    drawn = rows.groupBy("token", "band").agg(F.array_distinct(F.array(*drawn)).alias("drawn"))
+    met = salted_join(rows.select("token", "band", *side("x")), drawn, ["token", "band"], "inner", F.col("x"))
+    return met.select("x", "sx", "px", "cx", "bx", F.inline("drawn"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs(id, text) -> (id, n_shingles, component_id): components of links between texts with Jaccard similarity num / den at least.
 
@@ -206,11 +244,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     members = salted_join(classes, groups.where("members > 1").select("size", "pre", F.col("lead.rep").alias("gid")), ["size", "pre"], "inner", F.col("rep")).select("gid", "rep", "size")
     members = written(members, "ngram-members")
     bits = classes.select("rep", "size", "bits")
-    differ = " + ".join(f"bit_count(bx[{i}] ^ by[{i}])" for i in range(WORDS))
-    near = f"{den + num} * ({differ}) <= {den - num} * (sx + sy)"
     chain = posts.where("prev IS NOT NULL").select(F.least("prev", "gid").alias("a"), F.greatest("prev", "gid").alias("b")).union(chained(members)).where("a <> b").distinct()
     chain = chain.join(bits.select(F.col("rep").alias("a"), F.col("size").alias("sx"), F.col("bits").alias("bx")), "a").join(bits.select(F.col("rep").alias("b"), F.col("size").alias("sy"), F.col("bits").alias("by")), "b")
-    tried = written(chain.where(near).select("a", "b"), "ngram-chain")
+    tried = written(chain.where(near(num, den)).select("a", "b"), "ngram-chain")
     links = verified(tried, docs, n, num, den)
     found = components(links, "ngram-cc").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     # postings of groups as postings of members; a group of several is a posting of its own
@@ -218,15 +254,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     more = members.where("rep <> gid").select("gid", F.col("rep").alias("other"))
     whole = solo.drop("gid").union(solo.join(more, "gid").select("token", F.col("other").alias("rep"), "size", "pos"))
     whole = whole.union(members.select(F.xxhash64(F.lit("group"), "gid").alias("token"), "rep", "size", F.lit(0).cast("long").alias("pos")))
-    rows = salted_join(whole, found, ["rep"], "left", F.col("token")).select("token", "rep", "size", "pos", F.coalesce("comp", "rep").alias("comp"))
-    rows = written(rows, "ngram-rows")
-    mixed = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("top.comp").alias("top"))
-    rows = salted_join(rows, mixed, ["token"], "inner", F.col("rep"))
-    rows = written(rows.join(bits.select("rep", "bits"), "rep"), "ngram-mixed")
-    few = rows.where("comp <> top").select("token", F.col("rep").alias("x"), F.col("size").alias("sx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), F.col("bits").alias("bx"))
-    all_ = rows.select("token", F.col("rep").alias("y"), F.col("size").alias("sy"), F.col("pos").alias("py"), F.col("comp").alias("cy"), F.col("bits").alias("by"))
-    fits = f"cx <> cy AND {den} * least(sx, sy) >= {num} * greatest(sx, sy) AND {den + num} * (1 + least(sx - px - 1, sy - py - 1)) >= {num} * (sx + sy) AND {near}"
-    second = few.join(all_, "token").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    # a posting of two has had its only pair tried
+    long_ = whole.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("token")
+    rows = written(salted_join(salted_join(whole, long_, ["token"], "inner", F.col("rep")), bits.select("rep", "bits"), ["rep"], "inner", F.col("token")), "ngram-rows")
+    for turn in range(ROUNDS):
+        mixed = in_mixed_postings(rows, found)
+        met = with_pivots(mixed, turn, num, den).where(fits(num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        met = written(met.join(tried, ["a", "b"], "left_anti"), "ngram-met")
+        more_links = verified(met, docs, n, num, den)
+        if not more_links.take(1):
+            break
+        tried, links = tried.union(met), links.union(more_links)
+        found = components(links, "ngram-cc").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    rows = written(in_mixed_postings(rows, found), "ngram-mixed")
+    few = rows.where("comp <> top").select("token", *side("x"))
+    second = few.join(rows.select("token", *side("y")), "token").where(fits(num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more_links = verified(second, docs, n, num, den)
     final = components(links.union(more_links), "ngram-cc").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     # copies have the component of their class
