@@ -221,8 +221,9 @@ def with_pivots(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """
     rows = rows.withColumn("band", F.floor(F.log("size") / F.log(F.lit(den / num)) + F.lit(turn % 2 / 2)))
     drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "rep").alias("draw"), *side("y"))) for i in range(PIVOTS)]
-    drawn = rows.groupBy("token", "band").agg(F.array_distinct(F.array(*drawn)).alias("drawn"))
-    met = salted_join(rows.select("token", "band", *side("x")), drawn, ["token", "band"], "inner", F.col("x"))
+    # drawn rows are too wide to repeat for salts; as a table of their own they leave a hot band to Spark's splitting of skewed joins
+    drawn = written(rows.groupBy("token", "band").agg(F.array_distinct(F.array(*drawn)).alias("drawn")), "ngram-drawn")
+    met = rows.select("token", "band", *side("x")).join(drawn, ["token", "band"])
     return met.select("x", "sx", "px", "cx", "bx", F.inline("drawn"))
 
 
