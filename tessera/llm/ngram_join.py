@@ -120,32 +120,33 @@ def postings(groups: DataFrame, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), *(pa.array(np.repeat(own.column(c).to_numpy(), n)) for c in (0, 1)), pa.array(pos)], ["token", "gid", "size", "pos"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keeps rows whose token the row before or after has: one row waits for the next batch."""
+        """Keeps rows whose token the row before or after has: one row waits for the next batch, and the row before it comes along, as its prev."""
 
-        def out(cols: list[np.ndarray], known: bool, last: bool) -> tuple[pa.RecordBatch, list[np.ndarray], bool]:
+        def out(cols: list[np.ndarray], done: int, last: bool) -> tuple[pa.RecordBatch, list[np.ndarray], int]:
+            """The rows after the first done ones, which were in the batch before."""
             token, gid, size, pos = cols
-            same = np.append(known, token[1:] == token[:-1])
+            same = np.append(False, token[1:] == token[:-1])
             keep = same | np.append(same[1:], False)
             prev = np.append(-1, gid[:-1])
             small, px, py = np.append(0, size[:-1]), np.append(0, pos[:-1]), pos
             room = 1 + np.minimum(small - px - 1, size - py - 1)
-            fit = same & (den * small >= num * size) & ((den + num) * room >= num * (small + size)) & (np.arange(len(token)) > 0)
+            fit = same & (den * small >= num * size) & ((den + num) * room >= num * (small + size))
             end = len(token) if last else len(token) - 1
-            k = np.flatnonzero(keep[:end])
+            k = done + np.flatnonzero(keep[done:end])
             batch = pa.RecordBatch.from_arrays([pa.array(x[k]) for x in cols] + [pa.array(prev[k], mask=~fit[k])], ["token", "gid", "size", "pos", "prev"])
-            return batch, [x[end:] for x in cols], bool(same[end - 1]) if last else bool(same[-1])
+            return batch, [x[max(end - 1, 0) :] for x in cols], min(end, 1)
 
-        held, known = None, False
+        held, done = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
             cols = [b.column(i).to_numpy() for i in range(4)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            batch, held, known = out(cols, known, False)
+            batch, held, done = out(cols, done, False)
             yield batch
         if held is not None:
-            yield out(held, known, True)[0]
+            yield out(held, done, True)[0]
 
     rows = groups.mapInArrow(spread, "token long, gid long, size long, pos long").repartition("token").sortWithinPartitions("token", "size", "gid")
     return written(rows.mapInArrow(shared, "token long, gid long, size long, pos long, prev long"), "ngram-postings")

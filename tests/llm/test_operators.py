@@ -173,6 +173,28 @@ def test_ngram_join(spark, n, num, den):
     assert ngram_join.near_duplicates(frame(spark, [], "id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_ngram_join_across_batches(spark, size):
+    rng = random.Random(size)
+    rows = []
+    for i in range(0, 60, 2):
+        t = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        # a pair that shares its n-grams with no other, so each posting is of two
+        rows += [(i, " ".join(t)), (i + 1, " ".join([*t[:-1], "other"]))]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows, "id long, text string"), 3, 9, 10).collect()}
+        groups = [(0, 5, [1, 2, 3]), (1, 5, [1, 4]), (2, 5, [2, 4]), (3, 5, [3, 9])]
+        held = frame(spark, [(g, n, np.array(p, dtype=np.int64).tobytes()) for g, n, p in groups], "gid long, size long, prefix binary")
+        met = sorted(tuple(r) for r in ngram_join.postings(held, 1, 10).coalesce(1).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == jaccard(rows, 3, 9, 10)
+    assert met == [(1, 0, 5, 0, None), (1, 1, 5, 0, 0), (2, 0, 5, 1, None), (2, 2, 5, 0, 0), (3, 0, 5, 2, None), (3, 3, 5, 0, 0), (4, 1, 5, 1, None), (4, 2, 5, 1, 1)]
+
+
 TEXTS = st.lists(st.text() | st.sampled_from(["<|endoftext|>", " ", "  ", "\n", "\t ", "don't", "Σας", "İ", "é", "\x1c", "the", "123"]), max_size=8).map("".join)
 
 
