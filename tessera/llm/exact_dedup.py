@@ -19,16 +19,17 @@ def squeezed(text: Column) -> Column:
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, digest_col: str | None = None) -> DataFrame:
     """(id_col, keep_id, group_size, kept): texts are equal when they are so without white space.
 
     Of equal texts, the row with the most code points stays, then that with the smallest id.
     Null and empty texts are one group. A null id sorts last; rows that repeat an id and its text are all counted, and share one
-    verdict. Other columns are not read. An empty table gives an empty result.
+    verdict. Other columns are not read. An empty table gives an empty result. digest_col adds each row's hash of its whole text under that name;
+    then every row has one verdict, also where texts of one id agree in length and prefix.
     """
     row = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), squeezed(F.col(text_col)).alias("t"))
     row = row.select("id", "points", "t", F.length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("head"))
-    sizes = written(row.drop("t"), "dedup-sizes")
+    sizes = written(row.withColumn("digest", F.sha2("t", 256)).drop("t") if digest_col else row.drop("t"), "dedup-sizes")
     # 1: lengths that more than one row has; 2: among those, prefixes that more than one row has. Only numbers move.
     lens = sizes.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
     same_len = salted_join(sizes, lens, ["len"], "left_semi", F.col("id"))
@@ -41,22 +42,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = whole(row.join(ids, on, "left_semi")) if small else (h := whole(row)).join(ids, h["id"].eqNullSafe(ids["id"]), "left_semi")
     hashed = written(hashed, "dedup-hashes")
     best = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), F.col("id").alias("i"))).alias("best")).where("group_size > 1")
-    groups = salted_join(hashed, best.select("hash", "group_size", F.col("best.i").alias("keep_id")), ["hash"], "inner", F.col("id"), SALTS).select(F.col("id").alias("gid"), F.col("len").alias("glen"), F.col("head").alias("ghead"), "keep_id", "group_size").distinct()
+    groups = salted_join(hashed, best.select("hash", "group_size", F.col("best.i").alias("keep_id")), ["hash"], "inner", F.col("id"), SALTS).select(F.col("id").alias("gid"), F.col("len").alias("glen"), F.col("head").alias("ghead"), *([F.col("hash").alias("ghash")] if digest_col else []), "keep_id", "group_size").distinct()
     # an id that repeats with different texts has a verdict for each
-    out = sizes.join(groups, sizes["id"].eqNullSafe(groups["gid"]) & (F.col("len") == F.col("glen")) & (F.col("head") == F.col("ghead")), "left")
+    met = sizes["id"].eqNullSafe(groups["gid"]) & (F.col("len") == F.col("glen")) & (F.col("head") == F.col("ghead"))
+    out = sizes.join(groups, met & (F.col("digest") == F.col("ghash")) if digest_col else met, "left")
     alone = F.col("group_size").isNull()
     return out.select(
         F.col("id").alias(id_col),
         F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(alone, F.lit(True)).otherwise(F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        *([F.col("digest").alias(digest_col)] if digest_col else []),
     )
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    digests = docs.select("doc_id", F.sha2(squeezed(F.col("text")), 256).alias("text_sha256"))
-    return exact_dedup(docs).join(digests, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(table(spark, sf_dir, "documents"), digest_col="text_sha256")
 
 
 ORACLE = r"""

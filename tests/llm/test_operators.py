@@ -54,6 +54,18 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_query_keeps_rows(spark, tmp_path):
+    rows = [(1, "a b"), (2, "ab"), (None, "ab"), (None, "alone"), (3, "one"), (3, "two"), (3, "one"), (4, LONG + "x"), (4, LONG + "y"), (5, LONG + "x"), (6, LONG + "y")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in exact_dedup.op3_exact_dedup(spark, str(tmp_path)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=repr)
+    want = []
+    for i, text in rows:
+        plain = lambda t: "".join(t.split())
+        group = [(-len(t), j is None, j or 0, j) for j, t in rows if plain(t) == plain(text)]
+        want.append((i, min(group)[3], len(group), i == min(group)[3], hashlib.sha256(plain(text).encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+
+
 def edits(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
