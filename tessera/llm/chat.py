@@ -29,29 +29,36 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def tree_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left and right joined by tree and key; a null tree is one tree, a null key meets none."""
+    right = right.withColumnsRenamed({"tree": "_tree", key: "_key"})
+    return left.join(right, left["tree"].eqNullSafe(right["_tree"]) & (left[key] == right["_key"]), how).drop("_tree", "_key")
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """messages(tree, id, parent, ...) -> (tree, leaf, id, depth): every path from a root to a leaf, a row for each of its nodes.
 
     Self-joins double the distance that they cross: up(k) links a node with its ancestor 2^k above. So a chain of n turns takes log2(n) joins.
     A parent that is null or absent makes a root; of rows that repeat (tree, id) one is taken; nodes on a cycle have no root and are in no path.
+    Rows without a tree are one tree, whose tree is null; rows without an id are in no path.
     """
     nodes = messages.select("tree", "id", "parent").dropDuplicates(["tree", "id"])
     known = nodes.select("tree", F.col("id").alias("parent"))
-    up = written(nodes.join(known, ["tree", "parent"], "left_semi").select("tree", "id", F.col("parent").alias("above")), "tree-up")
-    leaves = nodes.select("tree", "id").join(up.select("tree", F.col("above").alias("id")), ["tree", "id"], "left_anti")
+    up = written(tree_join(nodes, known, "parent", "left_semi").select("tree", "id", F.col("parent").alias("above")), "tree-up")
+    leaves = tree_join(nodes.select("tree", "id"), up.select("tree", F.col("above").alias("id")), "id", "left_anti")
     found = leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).alias("dist"))
     size = 1
     while not up.isEmpty():
         # all nodes that are up to 2 * size - 1 above a leaf
-        more = found.join(up, ["tree", "id"]).select("tree", "leaf", F.col("above").alias("id"), (F.col("dist") + size).alias("dist"))
+        more = tree_join(found, up, "id").select("tree", "leaf", F.col("above").alias("id"), (F.col("dist") + size).alias("dist"))
         found = written(found.union(more), "tree-paths")
         half = up.select("tree", F.col("id").alias("above"), F.col("above").alias("top"))
-        up = written(up.join(half, ["tree", "above"]).select("tree", "id", F.col("top").alias("above")), "tree-up")
+        up = written(tree_join(up, half, "above").select("tree", "id", F.col("top").alias("above")), "tree-up")
         size *= 2
         if size > 2**30:
             raise ValueError("a chain of replies has no end")
     high = found.groupBy("tree", "leaf").agg(F.max("dist").alias("high"))
-    return found.join(high, ["tree", "leaf"]).select("tree", "leaf", "id", (F.col("high") - F.col("dist")).alias("depth"))
+    return tree_join(found, high, "leaf").select("tree", "leaf", "id", (F.col("high") - F.col("dist")).alias("depth"))
 
 
 def formatted(messages: DataFrame, best: int | None = None) -> DataFrame:
@@ -66,7 +73,7 @@ def formatted(messages: DataFrame, best: int | None = None) -> DataFrame:
         F.lit(ROLE), escaped(F.col("role")), F.lit(OPEN), escaped(F.col("text")), F.lit(CLOSE),
         F.when(F.col("role") == "assistant", F.lit(END)).otherwise(F.lit("")),
     )
-    turns = paths(messages).join(whole, ["tree", "id"]).select("tree", "leaf", "depth", "score", turn.alias("turn"))
+    turns = tree_join(paths(messages), whole, "id").select("tree", "leaf", "depth", "score", turn.alias("turn"))
     one = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "turn"))).alias("turns"), F.sum("score").alias("path_score"), F.count(F.lit(1)).alias("n_turns"))
     text = F.concat(F.lit(BEGIN), F.array_join(F.col("turns.turn"), ""), F.lit(END))
     ranked = one.select("tree", "leaf", "path_score", "n_turns", text.alias("formatted"))
