@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SALTS, salted_join, small_or_shuffled, table, written
+from tessera.llm.common import salted_join, small_or_shuffled, table, written
 
 #: Characters that don't count.
 SPACES = " \t\n\x0b\x0c\r"
@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = whole(row.join(ids, on, "left_semi")) if small else (h := whole(row)).join(ids, h["id"].eqNullSafe(ids["id"]), "left_semi")
     hashed = written(hashed, "dedup-hashes")
     best = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), F.col("id").alias("i"))).alias("best")).where("group_size > 1")
-    groups = salted_join(hashed, best.select("hash", "group_size", F.col("best.i").alias("keep_id")), ["hash"], "inner", F.col("id"), SALTS).select(F.col("id").alias("gid"), F.col("len").alias("glen"), F.col("head").alias("ghead"), *([F.col("hash").alias("ghash")] if digest_col else []), "keep_id", "group_size").distinct()
+    groups = salted_join(hashed, best.select("hash", "group_size", F.col("best.i").alias("keep_id")), ["hash"], "inner", F.col("id")).select(F.col("id").alias("gid"), F.col("len").alias("glen"), F.col("head").alias("ghead"), *([F.col("hash").alias("ghash")] if digest_col else []), "keep_id", "group_size").distinct()
     # an id that repeats with different texts has a verdict for each
     met = sizes["id"].eqNullSafe(groups["gid"]) & (F.col("len") == F.col("glen")) & (F.col("head") == F.col("ghead"))
     out = sizes.join(groups, met & (F.col("digest") == F.col("ghash")) if digest_col else met, "left")

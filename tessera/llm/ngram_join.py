@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, salted_join, small_or_shuffled, table, written
+from tessera.llm.common import components, row_count, salted_join, small_or_shuffled, table, written
 
 #: Buckets of the sketch that orders n-grams: its size is fixed, 8 bytes a bucket, and it is sent to every worker.
 BUCKETS = 2**20
@@ -108,7 +108,11 @@ def signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def postings(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """groups(gid, size, prefix) -> (token, gid, size, pos, prev) of the n-grams in more than one group's prefix; prev is the group before in the posting, by size, if the two pass the filters."""
+    """groups(gid, size, prefix) -> (token, gid, size, pos, prev, edge) of the n-grams in more than one group's prefix; prev is the group before in the posting, by size, if the two pass the filters.
+
+    Rows are dealt out by ranges of (token, size, gid), so a frequent n-gram's posting lies in several tasks. A task can't see the row before its first one: that row is
+    marked as edge, and both ends of a task stay whatever their neighbours are.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,45 +126,54 @@ def postings(groups: DataFrame, num: int, den: int) -> DataFrame:
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keeps rows whose token the row before or after has: one row waits for the next batch, and the row before it comes along, as its prev."""
 
-        def out(cols: list[np.ndarray], done: int, last: bool) -> tuple[pa.RecordBatch, list[np.ndarray], int]:
+        def out(cols: list[np.ndarray], done: int, first: bool, last: bool) -> tuple[pa.RecordBatch, list[np.ndarray], int]:
             """The rows after the first done ones, which were in the batch before."""
             token, gid, size, pos = cols
             same = np.append(False, token[1:] == token[:-1])
-            keep = same | np.append(same[1:], False)
+            keep = same | np.append(same[1:], last)
+            edge = np.zeros(len(token), dtype=bool)
+            keep[0] |= first
+            edge[0] = first
             prev = np.append(-1, gid[:-1])
             small, px, py = np.append(0, size[:-1]), np.append(0, pos[:-1]), pos
             room = 1 + np.minimum(small - px - 1, size - py - 1)
             fit = same & (den * small >= num * size) & ((den + num) * room >= num * (small + size))
             end = len(token) if last else len(token) - 1
             k = done + np.flatnonzero(keep[done:end])
-            batch = pa.RecordBatch.from_arrays([pa.array(x[k]) for x in cols] + [pa.array(prev[k], mask=~fit[k])], ["token", "gid", "size", "pos", "prev"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x[k]) for x in cols] + [pa.array(prev[k], mask=~fit[k]), pa.array(edge[k])], ["token", "gid", "size", "pos", "prev", "edge"])
             return batch, [x[max(end - 1, 0) :] for x in cols], min(end, 1)
 
-        held, done = None, 0
+        held, done, first = None, 0, True
         for b in batches:
             if not b.num_rows:
                 continue
             cols = [b.column(i).to_numpy() for i in range(4)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            batch, held, done = out(cols, done, False)
+            batch, held, now = out(cols, done, first, False)
+            first, done = first and len(cols[0]) == 1, now
             yield batch
         if held is not None:
-            yield out(held, done, True)[0]
+            yield out(held, done, first, True)[0]
 
-    rows = groups.mapInArrow(spread, "token long, gid long, size long, pos long").repartition("token").sortWithinPartitions("token", "size", "gid")
-    return written(rows.mapInArrow(shared, "token long, gid long, size long, pos long, prev long"), "ngram-postings")
+    rows = groups.mapInArrow(spread, "token long, gid long, size long, pos long").repartitionByRange("token", "size", "gid").sortWithinPartitions("token", "size", "gid")
+    return written(rows.mapInArrow(shared, "token long, gid long, size long, pos long, prev long, edge boolean"), "ngram-postings")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of pairs(a, b) whose texts in docs(id, text) are similar enough. A text with many partners is dealt out with parts of them."""
     pairs = written(pairs, "ngram-pairs")
+    if not row_count(pairs):
+        return pairs
     need, _ = small_or_shuffled(written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-need"))
     texts = written(docs.select("id", "text").join(need, "id", "left_semi"), "ngram-texts")
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("parts"))
-    left = many.join(texts.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    many = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("parts")), "ngram-parts")
+    left = texts.withColumnRenamed("id", "a").join(small_or_shuffled(many)[0], "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    # a text with many partners is on the side that small tables are sent to, or its pairs are dealt out
     right = pairs.join(many.where("parts > 1"), "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.col("b").alias("id"))
-    right = right.join(texts, "id").select("a", "part", F.col("id").alias("b"), "text")
+    dealt, small = small_or_shuffled(written(right, "ngram-dealt"))
+    right = texts.join(dealt, "id") if small else salted_join(dealt, texts, ["id"], "inner", F.col("a"))
+    right = right.select("a", "part", F.col("id").alias("b"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets = None, []
@@ -186,12 +199,6 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
     return written(met.mapInArrow(work, "a long, b long"), "ngram-links")
 
 
-def chained(members: DataFrame) -> DataFrame:
-    """(a, b): neighbours by id in each group of more than one member."""
-    w = members.select("gid", "rep", F.lag("rep").over(Window.partitionBy("gid").orderBy("rep")).alias("before"))
-    return w.where("before IS NOT NULL").select(F.col("before").alias("a"), F.col("rep").alias("b"))
-
-
 def near(num: int, den: int) -> str:
     """Whether parity bits bx and by of sets of sx and sy n-grams leave room for a link."""
     differ = " + ".join(f"bit_count(bx[{i}] ^ by[{i}])" for i in range(WORDS))
@@ -209,10 +216,13 @@ def side(v: str) -> list[Column]:
 
 
 def in_mixed_postings(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows(token, rep, ...) of postings with more than one component, with their own component and the posting's largest (comp, top)."""
-    rows = salted_join(rows, found, ["rep"], "left", F.col("token")).withColumn("comp", F.coalesce("comp", "rep"))
-    tops = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-    return salted_join(rows, tops.where("comps > 1").select("token", F.col("top.comp").alias("top")), ["token"], "inner", F.col("rep"))
+    """Those of rows(token, rep, size, pos), a written table, that are in postings with more than one component, with their own component and the posting's largest (comp, top)."""
+    if not row_count(rows):
+        return rows.withColumns({"comp": F.col("rep"), "top": F.col("rep")})
+    placed = written(salted_join(rows, found, ["rep"], "left", F.col("token")).withColumn("comp", F.coalesce("comp", "rep")), "ngram-placed")
+    tops = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+    tops = written(tops.where("comps > 1").select("token", F.col("top.comp").alias("top")), "ngram-tops")
+    return written(salted_join(placed, tops, ["token"], "inner", F.col("rep")), "ngram-mixed")
 
 
 def with_pivots(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
@@ -220,62 +230,82 @@ def with_pivots(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
 
     Any two sizes of a band are close enough for a link; every other turn moves the bands by half their width.
     """
-    rows = rows.withColumn("band", F.floor(F.log("size") / F.log(F.lit(den / num)) + F.lit(turn % 2 / 2)))
+    rows = written(rows.withColumn("band", F.floor(F.log("size") / F.log(F.lit(den / num)) + F.lit(turn % 2 / 2))), "ngram-bands")
     drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "rep").alias("draw"), *side("y"))) for i in range(PIVOTS)]
-    # drawn rows are too wide to repeat for salts; as a table of their own they leave a hot band to Spark's splitting of skewed joins
     drawn = written(rows.groupBy("token", "band").agg(F.array_distinct(F.array(*drawn)).alias("drawn")), "ngram-drawn")
-    met = rows.select("token", "band", *side("x")).join(drawn, ["token", "band"])
+    met = salted_join(rows.select("token", "band", *side("x")), drawn, ["token", "band"], "inner", F.col("x"))
     return met.select("x", "sx", "px", "cx", "bx", F.inline("drawn"))
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found(rep, comp), components so far, with those joined that links(a, b) connect: components are taken of links between components only."""
+    if not row_count(links):
+        return found
+    of = lambda v: found.select(F.col("rep").alias(v), F.col("comp").alias(f"c{v}"))
+    ends = written(salted_join(links, of("a"), ["a"], "left", F.col("b")), "ngram-ends")
+    ends = salted_join(ends, of("b"), ["b"], "left", F.col("a")).select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = components(ends, "ngram-cc").select(F.col("node").alias("comp"), F.col("component").alias("to"))
+    old = salted_join(found, moved, ["comp"], "left", F.col("rep")).select("rep", F.coalesce("to", "comp").alias("comp"))
+    new = moved.select(F.col("comp").alias("rep"), F.col("to").alias("comp")).join(found.select("rep"), "rep", "left_anti")
+    return written(old.union(new), "ngram-found")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs(id, text) -> (id, n_shingles, component_id): components of links between texts with Jaccard similarity num / den at least.
 
     component_id is the smallest id that links reach. Null and empty texts have no n-grams and are linked with nothing; nor are rows without an
     id, whose component_id is null. Rows that repeat an id are one node with the links of all of them. Other columns are not read. Copies are collapsed by
-    128-bit hashes of their sets; n-grams are compared by 64-bit hashes.
+    128-bit hashes of their sets; n-grams are compared by 64-bit hashes. No rows give no rows.
     """
     docs = docs.select(F.col("id").cast("long").alias("id"), "text")
     every = signed(docs, n, num, den)
     live = every.where("size > 0 AND id IS NOT NULL")
     classes = written(live.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("pre").alias("pre"), F.min("bits").alias("bits")), "ngram-classes")
     groups = written(classes.groupBy("size", "pre").agg(F.min(F.struct("rep", "set")).alias("lead"), F.count(F.lit(1)).alias("members")), "ngram-groups")
-    leads = groups.select(F.col("lead.rep").alias("gid"), F.col("lead.set").alias("set"))
-    prefixes = every.select("id", "set", "size", "prefix").join(leads, (F.col("id") == F.col("gid")) & (every["set"] == leads["set"]), "inner").select("gid", "size", "prefix").dropDuplicates(["gid"])
+    leads = groups.select(F.col("lead.rep").alias("id"), F.col("lead.set").alias("own"))
+    # rows that repeat an id may have other sets
+    prefixes = salted_join(every.where("size > 0").select("id", "set", "size", "prefix"), leads, ["id"], "inner", F.col("set"), every)
+    prefixes = prefixes.groupBy("id").agg(F.min(F.when(F.col("set") == F.col("own"), F.struct("size", "prefix"))).alias("p")).select(F.col("id").alias("gid"), "p.size", "p.prefix")
     posts = postings(prefixes, num, den)
     members = salted_join(classes, groups.where("members > 1").select("size", "pre", F.col("lead.rep").alias("gid")), ["size", "pre"], "inner", F.col("rep")).select("gid", "rep", "size")
     members = written(members, "ngram-members")
     bits = classes.select("rep", "size", "bits")
-    chain = posts.where("prev IS NOT NULL").select(F.least("prev", "gid").alias("a"), F.greatest("prev", "gid").alias("b")).union(chained(members)).where("a <> b").distinct()
-    chain = chain.join(bits.select(F.col("rep").alias("a"), F.col("size").alias("sx"), F.col("bits").alias("bx")), "a").join(bits.select(F.col("rep").alias("b"), F.col("size").alias("sy"), F.col("bits").alias("by")), "b")
+    # neighbours in postings, and each member of a group with the group's first
+    chain = posts.where("prev IS NOT NULL").select(F.least("prev", "gid").alias("a"), F.greatest("prev", "gid").alias("b")).union(members.select(F.col("gid").alias("a"), F.col("rep").alias("b"))).where("a <> b").distinct()
+    chain = written(chain, "ngram-near")
+    chain = salted_join(chain, bits.select(F.col("rep").alias("a"), F.col("size").alias("sx"), F.col("bits").alias("bx")), ["a"], "inner", F.col("b"))
+    chain = chain.join(bits.select(F.col("rep").alias("b"), F.col("size").alias("sy"), F.col("bits").alias("by")), "b")
     tried = written(chain.where(near(num, den)).select("a", "b"), "ngram-chain")
     links = verified(tried, docs, n, num, den)
     found = components(links, "ngram-cc").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     # postings of groups as postings of members; a group of several is a posting of its own
-    solo = posts.select("token", F.col("gid").alias("rep"), "size", "pos", "gid")
-    more = members.where("rep <> gid").select("gid", F.col("rep").alias("other"))
-    whole = solo.drop("gid").union(solo.join(more, "gid").select("token", F.col("other").alias("rep"), "size", "pos"))
-    whole = whole.union(members.select(F.xxhash64(F.lit("group"), "gid").alias("token"), "rep", "size", F.lit(0).cast("long").alias("pos")))
-    # a posting of two has had its only pair tried
-    long_ = whole.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("token")
-    rows = written(salted_join(salted_join(whole, long_, ["token"], "inner", F.col("rep")), bits.select("rep", "bits"), ["rep"], "inner", F.col("token")), "ngram-rows")
-    for turn in range(ROUNDS):
-        mixed = in_mixed_postings(rows, found)
-        met = with_pivots(mixed, turn, num, den).where(fits(num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    solo = posts.select("token", F.col("gid").alias("rep"), "size", "pos", "edge")
+    more = members.where("rep <> gid").select(F.col("gid").alias("rep"), F.col("rep").alias("other"))
+    whole = solo.union(salted_join(more, solo, ["rep"], "inner", F.col("other"), more).select("token", F.col("other").alias("rep"), "size", "pos", "edge"))
+    whole = written(whole.union(members.select(F.xxhash64(F.lit("group"), "gid").alias("token"), "rep", "size", F.lit(0).cast("long").alias("pos"), F.lit(False).alias("edge"))), "ngram-whole")
+    # a posting of two has had its only pair tried, unless it lay at the edge of a task
+    open_ = written(whole.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("edge").alias("edge")).where("n > 2 OR n = 2 AND edge").select("token"), "ngram-open")
+    rows = written(salted_join(whole.drop("edge"), open_, ["token"], "left_semi", F.col("rep")), "ngram-rows")
+    rows = in_mixed_postings(rows, found)
+    with_bits = lambda r: salted_join(r, bits.select("rep", "bits"), ["rep"], "inner", F.col("token"))
+    for turn in range(ROUNDS if row_count(rows) else 0):
+        met = with_pivots(with_bits(rows), turn, num, den).where(fits(num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         met = written(met.join(tried, ["a", "b"], "left_anti"), "ngram-met")
         more_links = verified(met, docs, n, num, den)
-        if not more_links.take(1):
+        if not row_count(more_links):
             break
-        tried, links = tried.union(met), links.union(more_links)
-        found = components(links, "ngram-cc").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    rows = written(in_mixed_postings(rows, found), "ngram-mixed")
-    few = rows.where("comp <> top").select("token", *side("x"))
-    second = few.join(rows.select("token", *side("y")), "token").where(fits(num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more_links = verified(second, docs, n, num, den)
-    final = components(links.union(more_links), "ngram-cc").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+        tried, found = tried.union(met), merged(found, more_links)
+        # postings of one component stay so
+        rows = in_mixed_postings(rows.drop("comp", "top"), found)
+    rows = written(with_bits(rows), "ngram-left")
+    second = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    if row_count(rows):
+        few = rows.where("comp <> top").select("token", *side("x"))
+        second = salted_join(rows.select("token", *side("y")), few, ["token"], "inner", F.col("y")).where(fits(num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    final = merged(found, verified(second, docs, n, num, den))
     # copies have the component of their class
     copies = classes.where("n > 1").select("set", "rep")
-    own = salted_join(every.select("id", "size", "set"), copies, ["set"], "left", F.col("id")).select("id", "size", F.coalesce("rep", "id").alias("rep"))
+    own = written(salted_join(every.select("id", "size", "set"), copies, ["set"], "left", F.col("id")).select("id", "size", F.coalesce("rep", "id").alias("rep")), "ngram-own")
     out = salted_join(own, final, ["rep"], "left", F.col("id"))
     return out.select("id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("comp", "rep")).otherwise(F.col("id")).alias("component_id"))
 

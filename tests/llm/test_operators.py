@@ -216,7 +216,10 @@ def test_ngram_join_across_batches(spark, size):
     finally:
         spark.conf.set(key, before)
     assert got == jaccard(rows, 3, 9, 10)
-    assert met == [(1, 0, 5, 0, None), (1, 1, 5, 0, 0), (2, 0, 5, 1, None), (2, 2, 5, 0, 0), (3, 0, 5, 2, None), (3, 3, 5, 0, 0), (4, 1, 5, 1, None), (4, 2, 5, 1, 1)]
+    # whole postings of several groups, and what lies at the ends of tasks; each row has the one before it, unless it begins a task
+    assert [m[:4] for m in met if m[0] != 9] == [(1, 0, 5, 0), (1, 1, 5, 0), (2, 0, 5, 1), (2, 2, 5, 0), (3, 0, 5, 2), (3, 3, 5, 0), (4, 1, 5, 1), (4, 2, 5, 1)]
+    before_ = {(1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 2): 1}
+    assert all(m[4] == before_.get(m[:2]) or m[5] and m[4] is None for m in met)
 
 
 TEXTS = st.lists(st.text() | st.sampled_from(["<|endoftext|>", " ", "  ", "\n", "\t ", "don't", "Σας", "İ", "é", "\x1c", "the", "123"]), max_size=8).map("".join)
