@@ -26,6 +26,8 @@ from tessera.llm.common import components, row_count, salted_join, small_or_shuf
 #: Buckets of the sketch that orders n-grams: its size is fixed, 8 bytes a bucket, and it is sent to every worker.
 BUCKETS = 2**20
 CHUNKS = 64
+#: Tasks that add up one chunk of it, before one adds up theirs.
+SPREAD = 8
 #: 64-bit words of a set's parity bits.
 WORDS = 8
 #: Rows of a posting's band of sizes that all its rows meet in a round, and the most rounds; what they leave is met in full, so the result doesn't depend on them.
@@ -58,7 +60,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, salt = np.zeros(BUCKETS, dtype=np.int64), TaskContext.get().partitionId() % 64
+        total, salt = np.zeros(BUCKETS, dtype=np.int64), TaskContext.get().partitionId() % SPREAD
         for b in batches:
             texts = b.column(0)
             for i in range(0, len(texts), 256):
@@ -205,23 +207,30 @@ def near(num: int, den: int) -> str:
     return f"{den + num} * ({differ}) <= {den - num} * (sx + sy)"
 
 
+def by_bits(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of pairs(a, b), a written table, that parity bits leave room for."""
+    one = lambda v, w: bits.select(F.col("rep").alias(v), F.col("size").alias(f"s{w}"), F.col("bits").alias(f"b{w}"))
+    met = salted_join(salted_join(pairs, one("a", "x"), ["a"], "inner", F.col("b")), one("b", "y"), ["b"], "inner", F.col("a"), pairs)
+    return met.where(near(num, den)).select("a", "b")
+
+
 def fits(num: int, den: int) -> str:
-    """Whether x and y, of different components, pass the filters of size, place and parity bits."""
-    return f"cx <> cy AND {den} * least(sx, sy) >= {num} * greatest(sx, sy) AND {den + num} * (1 + least(sx - px - 1, sy - py - 1)) >= {num} * (sx + sy) AND {near(num, den)}"
+    """Whether x and y, of different components, pass the filters of size and place."""
+    return f"cx <> cy AND {den} * least(sx, sy) >= {num} * greatest(sx, sy) AND {den + num} * (1 + least(sx - px - 1, sy - py - 1)) >= {num} * (sx + sy)"
 
 
 def side(v: str) -> list[Column]:
     """A posting's row as one side of a pair."""
-    return [F.col("rep").alias(v), *(F.col(c).alias(c[0] + v) for c in ("size", "pos", "comp", "bits"))]
+    return [F.col("rep").alias(v), *(F.col(c).alias(c[0] + v) for c in ("size", "pos", "comp"))]
 
 
 def in_mixed_postings(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Those of rows(token, rep, size, pos), a written table, that are in postings with more than one component, with their own component and the posting's largest (comp, top)."""
+    """Those of rows(token, rep, size, pos), a written table, that are in postings with more than one component, with their own component, the posting's largest and its rows (comp, top, of)."""
     if not row_count(rows):
-        return rows.withColumns({"comp": F.col("rep"), "top": F.col("rep")})
+        return rows.withColumns({"comp": F.col("rep"), "top": F.col("rep"), "of": F.lit(0).cast("long")})
     placed = written(salted_join(rows, found, ["rep"], "left", F.col("token")).withColumn("comp", F.coalesce("comp", "rep")), "ngram-placed")
-    tops = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-    tops = written(tops.where("comps > 1").select("token", F.col("top.comp").alias("top")), "ngram-tops")
+    tops = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("of"))
+    tops = written(tops.where("comps > 1").select("token", F.col("top.comp").alias("top"), "of"), "ngram-tops")
     return written(salted_join(placed, tops, ["token"], "inner", F.col("rep")), "ngram-mixed")
 
 
@@ -234,7 +243,7 @@ def with_pivots(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "rep").alias("draw"), *side("y"))) for i in range(PIVOTS)]
     drawn = written(rows.groupBy("token", "band").agg(F.array_distinct(F.array(*drawn)).alias("drawn")), "ngram-drawn")
     met = salted_join(rows.select("token", "band", *side("x")), drawn, ["token", "band"], "inner", F.col("x"))
-    return met.select("x", "sx", "px", "cx", "bx", F.inline("drawn"))
+    return met.select("x", "sx", "px", "cx", F.inline("drawn"))
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -272,10 +281,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     bits = classes.select("rep", "size", "bits")
     # neighbours in postings, and each member of a group with the group's first
     chain = posts.where("prev IS NOT NULL").select(F.least("prev", "gid").alias("a"), F.greatest("prev", "gid").alias("b")).union(members.select(F.col("gid").alias("a"), F.col("rep").alias("b"))).where("a <> b").distinct()
-    chain = written(chain, "ngram-near")
-    chain = salted_join(chain, bits.select(F.col("rep").alias("a"), F.col("size").alias("sx"), F.col("bits").alias("bx")), ["a"], "inner", F.col("b"))
-    chain = chain.join(bits.select(F.col("rep").alias("b"), F.col("size").alias("sy"), F.col("bits").alias("by")), "b")
-    tried = written(chain.where(near(num, den)).select("a", "b"), "ngram-chain")
+    tried = written(by_bits(written(chain, "ngram-near"), bits, num, den), "ngram-chain")
     links = verified(tried, docs, n, num, den)
     found = components(links, "ngram-cc").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     # postings of groups as postings of members; a group of several is a posting of its own
@@ -287,21 +293,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     open_ = written(whole.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("edge").alias("edge")).where("n > 2 OR n = 2 AND edge").select("token"), "ngram-open")
     rows = written(salted_join(whole.drop("edge"), open_, ["token"], "left_semi", F.col("rep")), "ngram-rows")
     rows = in_mixed_postings(rows, found)
-    with_bits = lambda r: salted_join(r, bits.select("rep", "bits"), ["rep"], "inner", F.col("token"))
-    for turn in range(ROUNDS if row_count(rows) else 0):
-        met = with_pivots(with_bits(rows), turn, num, den).where(fits(num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        met = written(met.join(tried, ["a", "b"], "left_anti"), "ngram-met")
+    untried = lambda met: written(met.where(fits(num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "ngram-met")
+    for turn in range(ROUNDS):
+        # a posting of few rows has no more pairs than rows times pivots
+        large = rows.where(F.col("of") > 2 * PIVOTS)
+        met = written(by_bits(untried(with_pivots(large, turn, num, den)), bits, num, den), "ngram-drawn-pairs")
         more_links = verified(met, docs, n, num, den)
         if not row_count(more_links):
             break
         tried, found = tried.union(met), merged(found, more_links)
         # postings of one component stay so
-        rows = in_mixed_postings(rows.drop("comp", "top"), found)
-    rows = written(with_bits(rows), "ngram-left")
-    second = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    if row_count(rows):
-        few = rows.where("comp <> top").select("token", *side("x"))
-        second = salted_join(rows.select("token", *side("y")), few, ["token"], "inner", F.col("y")).where(fits(num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        rows = in_mixed_postings(rows.drop("comp", "top", "of"), found)
+    few = rows.where("comp <> top").select("token", *side("x"))
+    second = by_bits(untried(salted_join(rows.select("token", *side("y")), few, ["token"], "inner", F.col("y"), rows)), bits, num, den)
     final = merged(found, verified(second, docs, n, num, den))
     # copies have the component of their class
     copies = classes.where("n > 1").select("set", "rep")
