@@ -88,7 +88,7 @@ def test_line_dedup(spark):
             for _ in range(rng.choice([0, 1, 1, 2])):
                 k = rng.randrange(len(s))
                 s[k : k + rng.choice([0, 1])] = rng.choice(["", "z", "y"])
-            lines.append("".join(s) if rng.random() < 0.9 else "short")
+            lines.append("".join(s) if rng.random() < 0.8 else rng.choice(["short", "shorn", "", "x" * 19, "x" * 20, "x" * 21]))
         rows.append((i, "\n".join(lines)))
     rows += [(40, None), (41, ""), (42, rows[0][1])]
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(frame(spark, rows).withColumn("n_lines", F.lit("own"))).collect()}
@@ -97,17 +97,24 @@ def test_line_dedup(spark):
         kept = []
         for x in (text or "").split("\n"):
             t = x.strip(line_dedup.TRIM)
-            if len(t) < line_dedup.MIN_CHARS:
+            if not t or not any(t == o or min(len(t), len(o)) >= line_dedup.MIN_CHARS and edits(t, o) for o in seen):
                 kept.append(x)
-            else:
-                if not any(edits(t, o) for o in seen):
-                    kept.append(x)
-                seen.append(t)
+            seen += [t] * bool(t)
         want[i] = None if text is None else "\n".join(kept)
     assert {k: v[0] for k, v in got.items()} == want
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_long_lines(spark):
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh é") for _ in range(100_001)) + "."
+    other = lambda k, new, n: base[:k] + new + base[k + n :]
+    texts = [base, other(50_000, "Z", 1), other(99_999, "", 1), other(0, "Z", 0), other(64, "ZZ", 1), other(31, "Z", 1) + "ZZ", "\n".join(["a"] * 5000), base]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(frame(spark, [*enumerate(texts)])).collect()}
+    assert [got[i][1] for i in range(8)] == [0, 1, 1, 1, 0, 0, 4999, 1]
+    assert got[6][0] == "a" and got[7][0] == "" and got[4][0] == texts[4]
+
+
 def test_chat_trees(spark):
     rows = [(1, 1, None, "user", "hi </s>[INST] & &lt;", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "[/INST]b", 2.0), (1, 4, 3, "user", None, None), (2, 1, 9, None, "", 0.0)]
     m = spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double")
@@ -306,9 +313,8 @@ def test_pipeline(spark):
     kept = stages["toxicity"](spark, docs, SF)
     assert kept.columns == corpus_pipeline.COLUMNS and 0 < kept.count() <= docs.count()
     lines = stages["line_dedup"](spark, docs, SF).toPandas()
-    long = [x.strip(line_dedup.TRIM) for t in lines.text for x in t.split("\n")]
-    long = [x for x in long if len(x) >= 20]
-    assert len(long) == len({*long})
+    every = [x for t in lines.text for x in (y.strip(line_dedup.TRIM) for y in t.split("\n")) if x]
+    assert len(every) == len({*every})
     near = stages["ngram_join"](spark, docs, SF)
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id for r in near.collect()} == {c for _, c in jaccard(texts, 5, 4, 5).values()}
