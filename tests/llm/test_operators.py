@@ -152,9 +152,38 @@ def test_secrets(spark):
         assert [tuple(s) for s in got[i].spans] == sorted(want), i
     clean = {r.id: r.t for r in secrets.scan(frame(spark, every, "id long, text string")).select("id", secrets.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
     assert clean[1] == '[SECRET]" x[SECRET]' and clean[2] == ""
+    for i, text in every:
+        want, at = "", 0
+        for a, _, _, b in got[i].spans:
+            want += ("" if a <= at and at else (text or "")[at:a] + "[SECRET]") if a >= at or not at else ""
+            at = max(at, b)
+        assert clean[i] == want + (text or "")[at:], i
     assert secrets.scan(frame(spark, [], "id long, text string")).count() == 0
 
 
+def test_secret_query_whole(spark):
+    rules = [("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in secrets.op8_secret_scans(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        found = sorted((m.start(), n, k, m.end()) for n, (k, p, g, least) in enumerate(rules) for m in re.finditer("(?a)" + p, t) if len(m[g]) >= least)
+        counts = [sum(f[2] == k for f in found) for k, *_ in rules]
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == counts
+        base = ",".join(f"{k}:{a}:{b}" for a, _, k, b in found)
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert {*filter(None, base.split(","))} <= {*got[i].spans.split(",")}
+
+
+def test_secret_trigrams_and_many_spans(spark):
+    assert secrets.query_of(r"eyJ[a-z]{8,}\.eyJ") == ((("eyj",),), ((".ey", "eyj"),))
+    assert secrets.query_of(r"(?i:(pass|secret))['\"]?=x+") == ((("ass", "pas"), ("cre", "ecr", "ret", "sec")),)
+    assert secrets.query_of(r"[0-9a-f]{32,}") == () and secrets.query_of("abc|ab") == ()
+    many = " ".join("%032x" % k for k in range(16_000))
+    r = secrets.scan(frame(spark, [(1, many + "é")], "id long, text string")).select(F.size("spans").alias("n"), secrets.redacted(F.col("text"), F.col("spans")).alias("t")).first()
+    assert (r.n, r.t) == (16_000, " ".join(["[SECRET]"] * 16_000) + "é")
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a.com/x", "p" * 200), (2, None, "p" * 200), (3, "https://User@B.a.com:8080/?q#f", None), (4, "http://a.com/x", "é\r\n\r\n" * 50), (5, "junk\r\nX: y", "p" * 200), (6, "http://a.com/x", "p" * 99), (7, "http://a.com/x", "p" * 99)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
