@@ -8,10 +8,10 @@ No control string can then come from a text, and what is read back is the text i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import row_count, table, written
 
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
 BEGIN, END, ROLE, OPEN, CLOSE = "<s>", "</s>", "[ROLE]", "[INST]", "[/INST]"
@@ -35,52 +35,65 @@ def tree_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     return left.join(right, left["tree"].eqNullSafe(right["_tree"]) & (left[key] == right["_key"]), how).drop("_tree", "_key")
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """messages(tree, id, parent, ...) -> (tree, leaf, id, depth): every path from a root to a leaf, a row for each of its nodes.
+def nodes_of(messages: DataFrame) -> DataFrame:
+    """messages with one row each (tree, id), as a written table: of rows that repeat them, the least (parent, role, text, score). Null role, text and score are empty, empty and 0."""
+    whole = messages.select("tree", "id", F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).alias("row"))
+    return written(whole.groupBy("tree", "id").agg(F.min("row").alias("row")).select("tree", "id", "row.*"), "tree-nodes")
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """nodes(tree, id, parent), one row each (tree, id) -> (tree, leaf, id, depth): every path from a root to a leaf, a row for each of its nodes.
 
     Self-joins double the distance that they cross: up(k) links a node with its ancestor 2^k above. So a chain of n turns takes log2(n) joins.
-    A parent that is null or absent makes a root; of rows that repeat (tree, id) one is taken; nodes on a cycle have no root and are in no path.
+    A parent that is null or absent makes a root; nodes on a cycle, or that hang on one, have no root and are in no path.
     Rows without a tree are one tree, whose tree is null; rows without an id are in no path.
     """
-    nodes = messages.select("tree", "id", "parent").dropDuplicates(["tree", "id"])
+    nodes = nodes.select("tree", "id", "parent").where("id IS NOT NULL")
     known = nodes.select("tree", F.col("id").alias("parent"))
     up = written(tree_join(nodes, known, "parent", "left_semi").select("tree", "id", F.col("parent").alias("above")), "tree-up")
-    leaves = tree_join(nodes.select("tree", "id"), up.select("tree", F.col("above").alias("id")), "id", "left_anti")
+    parents = up.select("tree", F.col("above").alias("id")).distinct()
+    leaves = tree_join(nodes.select("tree", "id"), parents, "id", "left_anti")
+    roots = tree_join(nodes.select("tree", "id"), up.select("tree", "id"), "id", "left_anti").select("tree", "id")
     found = leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).alias("dist"))
-    size = 1
-    while not up.isEmpty():
+    # no path is longer than its tree has links; what goes on after that is a cycle
+    size, most = 1, up.groupBy("tree").count().agg(F.max("count")).first()[0] if row_count(up) else 0
+    while row_count(up) and size <= 2 * most:
         # all nodes that are up to 2 * size - 1 above a leaf
         more = tree_join(found, up, "id").select("tree", "leaf", F.col("above").alias("id"), (F.col("dist") + size).alias("dist"))
         found = written(found.union(more), "tree-paths")
         half = up.select("tree", F.col("id").alias("above"), F.col("above").alias("top"))
         up = written(tree_join(up, half, "above").select("tree", "id", F.col("top").alias("above")), "tree-up")
         size *= 2
-        if size > 2**30:
-            raise ValueError("a chain of replies has no end")
-    high = found.groupBy("tree", "leaf").agg(F.max("dist").alias("high"))
+    high = tree_join(found, roots, "id", "left_semi").groupBy("tree", "leaf").agg(F.max("dist").alias("high"))
     return tree_join(found, high, "leaf").select("tree", "leaf", "id", (F.col("high") - F.col("dist")).alias("depth"))
 
 
 def formatted(messages: DataFrame, best: int | None = None) -> DataFrame:
-    """messages(tree, id, parent, role, text, score) -> (tree, leaf, rank, path_score, n_turns, formatted), a row for each path from root to leaf.
+    """messages(tree, id, parent, role, text, score) -> (tree, leaf, rank, path_score, n_turns, formatted, loss), a row for each path from root to leaf.
 
-    Paths of a tree are ranked by the sum of their scores, then by leaf; best keeps the first ranks only. Null text, role and score are
-    empty, empty and 0. Other columns are not read. No messages give no rows. The turns of one path are one text, so they meet in one task.
+    Paths of a tree are ranked by the sum of their scores, then by leaf; best keeps the first ranks only. Ranks are given on numbers: texts are joined to
+    the paths that stay. loss has start and end, in code points of formatted, of each assistant text. Null text, role and score are
+    empty, empty and 0; of rows that repeat (tree, id) one counts; a null tree is one tree; other columns are not read. No messages give no rows. The turns of one
+    path are one text, so they meet in one task.
     """
-    whole = messages.select("tree", "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).dropDuplicates(["tree", "id"])
-    turn = F.concat(
-        F.when(F.col("role") == "assistant", F.lit(BEGIN)).otherwise(F.lit("")),
-        F.lit(ROLE), escaped(F.col("role")), F.lit(OPEN), escaped(F.col("text")), F.lit(CLOSE),
-        F.when(F.col("role") == "assistant", F.lit(END)).otherwise(F.lit("")),
-    )
-    turns = tree_join(paths(messages), whole, "id").select("tree", "leaf", "depth", "score", turn.alias("turn"))
-    one = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "turn"))).alias("turns"), F.sum("score").alias("path_score"), F.count(F.lit(1)).alias("n_turns"))
+    nodes = nodes_of(messages)
+    steps = written(paths(nodes), "tree-steps")
+    scores = tree_join(steps.select("tree", "leaf", "id"), nodes.select("tree", "id", "score"), "id").groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"), F.count(F.lit(1)).alias("n_turns"))
+    ranked = scores.selectExpr("*", "row_number() OVER (PARTITION BY tree ORDER BY path_score DESC, leaf) AS rank")
+    chosen = written(ranked if best is None else ranked.where(F.col("rank") <= best), "tree-ranks")
+    lone = lambda x: F.when(F.col("role") == "assistant", F.lit(x)).otherwise(F.lit(""))
+    lead = F.concat(lone(BEGIN), F.lit(ROLE), escaped(F.col("role")), F.lit(OPEN))
+    turns = tree_join(tree_join(steps, chosen.select("tree", "leaf"), "leaf", "left_semi"), nodes, "id")
+    turns = turns.select("tree", "leaf", "depth", "role", lead.alias("lead"), escaped(F.col("text")).alias("body"), F.concat(F.lit(CLOSE), lone(END)).alias("trail"))
+    before = Window.partitionBy("tree", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("lead") + F.length("body") + F.length("trail")
+    start = F.coalesce(F.sum(size).over(before), F.lit(0)) + len(BEGIN) + F.length("lead")
+    loss = F.when(F.col("role") == "assistant", F.struct(start.cast("bigint").alias("start"), (start + F.length("body")).cast("bigint").alias("end")))
+    turns = turns.select("tree", "leaf", F.struct("depth", F.concat("lead", "body", "trail").alias("turn"), loss.alias("loss")).alias("t"))
+    one = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     text = F.concat(F.lit(BEGIN), F.array_join(F.col("turns.turn"), ""), F.lit(END))
-    ranked = one.select("tree", "leaf", "path_score", "n_turns", text.alias("formatted"))
-    if best is None:
-        rank = "row_number() OVER (PARTITION BY tree ORDER BY path_score DESC, leaf)"
-        return ranked.selectExpr("tree", "leaf", f"{rank} AS rank", "path_score", "n_turns", "formatted")
-    return ranked.selectExpr("*", "row_number() OVER (PARTITION BY tree ORDER BY path_score DESC, leaf) AS rank").where(F.col("rank") <= best).select("tree", "leaf", "rank", "path_score", "n_turns", "formatted")
+    one = one.select("tree", "leaf", text.alias("formatted"), F.array_compact("turns.loss").alias("loss"))
+    return tree_join(one, chosen, "leaf").select("tree", "leaf", "rank", "path_score", "n_turns", "formatted", "loss")
 
 
 def read_back(text: Column) -> Column:
@@ -92,14 +105,16 @@ def read_back(text: Column) -> Column:
 
 
 def digests(chats: DataFrame, id_col: str) -> DataFrame:
-    """What the output says, from the formatted text alone."""
-    r = chats.select(id_col, "formatted", read_back(F.col("formatted")).alias("turns"))
+    """What the output says: turns from the formatted text alone, loss text from what the mask covers of it."""
+    r = chats.select(id_col, "formatted", "loss", read_back(F.col("formatted")).alias("turns"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return r.select(id_col, F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    masked = F.transform("loss", lambda x: unescaped(F.substring("formatted", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))))
+    r = r.select(id_col, "formatted", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.array_join(masked, "").alias("said"))
+    return r.select(id_col, "n_turns", "turns_sha256", F.length("said").cast("long").alias("loss_chars"), F.sha2(F.col("said"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 def op5_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    """conversations as chains of replies, and conversation -1; rows without a conv_id are one conversation, rows that repeat a turn are turns of their own."""
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     # a turn replies to the turn before it

@@ -125,6 +125,14 @@ def test_chat_trees(spark):
     chain = spark.range(1, 41).select(F.lit(1).cast("long").alias("tree"), "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"), F.lit(0.0).alias("score"))
     assert [x.text for x in chat.formatted(chain, best=1).select(chat.read_back(F.col("formatted")).alias("b")).first().b] == [str(i) for i in range(1, 41)]
     assert chat.formatted(m.limit(0)).count() == 0
+    for r in got.values():
+        said = [r.formatted[x.start : x.end] for x in r.loss]
+        assert [x.replace("&#91;", "[").replace("&lt;", "<").replace("&amp;", "&") for x in said] == [x.text for x in r.back if x.role == "assistant"]
+    # repeats of (tree, id) with other parents, a cycle, a tail on a cycle, a null tree, clashing columns, a long text
+    odd = [(1, 1, None, "user", "b", 0.0), (1, 1, None, "user", "a", 0.0), (2, 1, 2, "user", "x", 0.0), (2, 2, 1, "user", "y", 0.0), (2, 3, 1, "user", "z", 0.0), (None, 1, None, "assistant", LONG, 0.0), (None, 2, 1, "user", "c", 0.0), (None, None, 1, "user", "d", 0.0)]
+    m = spark.createDataFrame(odd, "tree long, id long, parent long, role string, text string, score double").withColumn("leaf", F.lit("own")).withColumn("rank", F.lit(7))
+    got = [(r.tree, r.leaf, r["rank"], [tuple(x) for x in r.back]) for r in chat.formatted(m).select("*", chat.read_back(F.col("formatted")).alias("back")).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1, 1, [("user", "a")]), (None, 2, 1, [("assistant", LONG), ("user", "c")])], key=repr)
 
 
 def test_chat_keeps_null_conversation(spark, tmp_path):
@@ -188,7 +196,8 @@ def test_warc(spark, tmp_path):
     rows = [(1, "http://a.com/x", "p" * 200), (2, None, "p" * 200), (3, "https://User@B.a.com:8080/?q#f", None), (4, "http://a.com/x", "é\r\n\r\n" * 50), (5, "junk\r\nX: y", "p" * 200), (6, "http://a.com/x", "p" * 99), (7, "http://a.com/x", "p" * 99)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
     path = f"file://{tmp_path}"
-    files = warc.archive(pages, path)
+    files, n = warc.archive(pages, path)
+    assert n == len(rows)
     back = {r.page_id: r for r in warc.read_records(warc.look_up(pages, files, f"{path}/index"), f"{path}/archives").collect()}
     assert {i: (r.record_type, r.refers_to) for i, r in back.items()} == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None), 4: ("response", None), 5: ("revisit", 1), 6: ("response", None), 7: ("response", None)}
     for i, _, html in rows:
@@ -196,7 +205,24 @@ def test_warc(spark, tmp_path):
         assert back[i].payload == ((html or "") if back[i].record_type == "response" else None)
     assert warc.look_up(spark.createDataFrame([("http://none.org/", 1), ("http://a.com/x", 99)], "url string, page_id long"), files, f"{path}/index").count() == 0
     assert warc.surt("http://www.a.com:80/x?y#z") == "com,a,www)/x?y"
-    assert warc.archive(pages.limit(0), f"{path}/none") == []
+    assert warc.archive(pages.limit(0), f"{path}/none") == ([], 0)
+    with pytest.raises(ValueError):
+        warc.store(str(tmp_path))
+
+
+def test_warc_query_keeps_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    monkeypatch.setattr(warc.write_index, "__defaults__", (4,))
+    rows = [(1, "http://a.com/", "p" * 200), (1, "http://a.com/", "q" * 200), (1, "http://a.com/", "q" * 200), (None, "http://a.com/", "p" * 200), (None, None, "n" * 150), (None, None, "n" * 150), (0, "http://a.com/", "q" * 200), (-5, "x", None)]
+    rows += [(7, "http://a.com/", f"{k}" * 120) for k in range(30)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    spark.read.parquet(f"{tmp_path}/pages").write.parquet(f"{tmp_path}/sf/pages.parquet")
+    want = c.execute(warc.ORACLE)
+    columns = [d[0] for d in want.description]
+    got = warc.op2_warc(spark, f"{tmp_path}/sf").select(*columns).collect()
+    assert len(got) == len(rows) and sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
 
 
 def jaccard(texts, n, num, den):
