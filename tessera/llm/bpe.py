@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm.common import table
 from tessera.llm.memory import Memory
-from tessera.llm.ragged import gather, slices, uncertain, words
+from tessera.llm.ragged import gather, is_uncertain, slices, words
 
 #: What \\s stands for in the vocabulary's normaliser: White_Space of Unicode.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -31,8 +31,8 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Pairs a worker remembers before it starts anew.
 PAIRS = 2_000_000
-#: Stretches a worker remembers, twice.
-REMEMBER = 400_000
+#: Bytes of stretches and their tokens that a worker remembers, twice.
+REMEMBER = 100_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -53,6 +53,7 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.names = {i: t for t, i in {**self.ids, **self.special}.items()}
         self.letters = byte_letters()
+        self.bytes = {c: b for b, c in self.letters.items()}
         self.spelling = pa.array([self.names.get(i, "") for i in range(max(self.names) + 1)], pa.string())
         self.raw = {i: i.to_bytes(4, "little") for i in self.names}
         #: The longest token that begins with such two letters.
@@ -135,6 +136,11 @@ class WordBpe:
 
     # texts
 
+    def classed(self, stretch: str) -> list[str]:
+        """The words of a stretch with characters that Unicode versions class otherwise: normalised and split by the tables of the vocabulary's own library."""
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(stretch))
+        return [bytes(map(self.bytes.__getitem__, p)).decode() for p, _ in pieces]
+
     def chunks(self, stretch: str) -> list[str]:
         """What white space leaves of a stretch without special tokens, normalised. Nothing in the normaliser reaches over a space."""
         if not stretch.isascii():
@@ -154,6 +160,8 @@ class WordBpe:
                 low = p.lower()
                 if low.isascii() and low.isalpha():
                     own.append(low)
+                elif p not in self.special and is_uncertain(p):
+                    own += self.classed(p)
                 else:
                     own += [self.special[p]] if p in self.special else [w for c in self.chunks(p) for w in ([c] if c.isalpha() else SPLIT.findall(c))]
             parts.append(own)
@@ -167,16 +175,8 @@ class WordBpe:
         return got
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts (no nulls) one after the other, and where each text's begin (and the last ends). Texts with characters that Unicode versions class otherwise are left to the library."""
+        """Tokens of all texts (no nulls) one after the other, and where each text's begin (and the last ends)."""
         texts = texts.cast(pa.string())
-        late = uncertain(texts)
-        if late:
-            own, ready = texts.to_pylist(), {}
-            for i in late:
-                ready[i], own[i] = np.asarray(self.library.encode(own[i], add_special_tokens=False).ids, dtype="<u4"), ""
-            ids, at = self.encode_all(pa.array(own, pa.string()))
-            each = [ready[i] if i in ready else ids[at[i] : at[i + 1]] for i in range(len(own))]
-            return np.concatenate(each), np.cumsum([0, *map(len, each)])
         unique, codes, begin = words(texts)
         data = self.learn(unique.to_pylist())
         sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
@@ -203,7 +203,7 @@ def word_bpe(path: str) -> WordBpe:
 
 
 def encoded(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text_col: str = "text") -> DataFrame:
-    """docs with ids (little-endian unsigned 32-bit, binary) and decoded. Null counts as empty text, which has no tokens. Own columns of those names are replaced."""
+    """docs with ids (little-endian unsigned 32-bit, binary) and decoded. Null counts as empty text, which has no tokens. No rows give no rows. Own columns of those names are replaced."""
     own = [c for c in docs.columns if c not in ("ids", "decoded")]
     plain = docs.select(*[docs[c] for c in own], F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     schema = T.StructType([docs.schema[c] for c in own] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
@@ -221,5 +221,6 @@ def encoded(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text_col: str
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
+    """Tokens and decoded text of every row of documents; null texts have none, rows that repeat stay."""
     docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

@@ -62,10 +62,15 @@ def _moved() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
 
 
+def is_uncertain(text: str) -> bool:
+    """Whether a text has characters that Unicode versions may class otherwise."""
+    return not text.isascii() and _moved().search(text) is not None
+
+
 def uncertain(texts: pa.Array) -> list[int]:
-    """Rows with characters that Unicode versions may class otherwise; they need the library itself."""
+    """Rows with such characters."""
     flat = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else [0]
     if not (flat[ends[0] : ends[-1]] >= 0xC8).any():  # the first byte of U+0200
         return []
-    return [i for i, t in enumerate(texts.to_pylist()) if not t.isascii() and _moved().search(t)]
+    return [i for i, t in enumerate(texts.to_pylist()) if is_uncertain(t)]
