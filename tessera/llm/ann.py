@@ -19,9 +19,11 @@ from tessera.llm.common import table, written
 
 #: Vectors that centroids are fitted to, at most: those whose hashed ids are least.
 FIT_VECTORS = 20_000
-#: Most centroids of a half; entries that a cell is meant to have; entries of a group of cells, which one task ranks.
-MOST_CENTROIDS = 256
+#: Most centroids of a half, which bounds the table of cells that is sent to workers (their square, 8 bytes each): beyond that cells grow, and are still met whole.
+MOST_CENTROIDS = 1024
+#: Entries that a cell is meant to have; the fewest and the most of a group of cells, which one task ranks: as many as give each partition a group.
 CELL = 32
+LEAST_GROUP = 1024
 GROUP = 8192
 #: Recall that the number of entries a query meets is set for, on queries of the sample; how many of those; neighbours of each.
 RECALL = 0.96
@@ -155,7 +157,8 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     enough = max(50 * top, math.ceil(share * int(index.counts.sum()))) + 1
-    first, spans = groups_of(index.counts.reshape(-1))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first, spans = groups_of(index.counts.reshape(-1), max(LEAST_GROUP, min(GROUP, -(-int(index.counts.sum()) // parts))))
     shipped = spark.sparkContext.broadcast((index, first, spans))
     schema = "grp long, asks boolean, cell long, id long, v array<double>, cells array<long>"
     names = ["grp", "asks", "cell", "id", "v", "cells"]
@@ -184,7 +187,6 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array([True] * len(row)), pa.nulls(len(row), pa.int64()), own.column(0).take(pa.array(row)), own.column(1).take(pa.array(row)), pa.array(cells, pa.list_(pa.int64()))], names)
 
     # a group's entries and the queries that reach it meet in one task; a query is sent once to each group
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = v.where("asks").select("id", "v").repartition(parts).mapInArrow(ask, schema)
     met = entries.mapInArrow(deal, schema).union(asked).repartition("grp").sortWithinPartitions("grp", "asks", "cell", "id")
 
@@ -229,5 +231,6 @@ def best(who: int, q: np.ndarray, wanted: np.ndarray, cells: np.ndarray, ids: np
 
 
 def op10_nearest(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each twentieth vector of embeddings; odd vectors and rows are those of nearest."""
     e = table(spark, sf_dir, "embeddings")
     return nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), F.col("id") % 20 == 0)

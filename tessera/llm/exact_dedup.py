@@ -57,6 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """The verdict on every row of documents, null and repeated doc_ids included, with the hash of its whole text."""
     return exact_dedup(table(spark, sf_dir, "documents"), digest_col="text_sha256")
 
 

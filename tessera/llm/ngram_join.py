@@ -315,6 +315,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """Components of documents by three-word shingles at 0.9; a row each row, null and repeated doc_ids as near_duplicates has them."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return near_duplicates(docs, 3, 9, 10).withColumnRenamed("id", "doc_id")
 

@@ -152,5 +152,6 @@ def packed(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", length: in
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all rows of documents; null texts have one token, rows that repeat or lack a doc_id are documents of their own."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return packed(docs, with_ids=False).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
