@@ -1,8 +1,10 @@
 """The corpus operators against brute force, on small tables with odd rows."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -16,6 +18,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import ann, bpe, chat, exact_dedup, line_dedup, ngram_join, packing, queries, secrets, toxicity, warc
 from tessera.llm.common import components
+from tessera.llm.memory import Memory
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor " * 3000
@@ -317,6 +320,62 @@ def test_bpe_and_packing(spark):
     assert packing.packed(frame(spark, [], "id long, text string")).count() == 0
 
 
+def test_late_characters_are_speculated():
+    b = bpe.word_bpe(public_tokenizers.path("word_bpe_49k.json"))
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a\u1e9eb STRA\u1e9eE", "\U0001f9ff\U0001fae0 x\u0378y", "\ua7ba\ua7bb1\u0301 \u1fffe", "\U00010d40\u0cf3 caf\u00e9", "<|endoftext|>\u1e9e"]
+    ids, begin = b.encode_all(pa.array(texts))
+    assert [ids[x:y].tolist() for x, y in zip(begin, begin[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_memory_is_bounded_by_bytes():
+    m = Memory(100_000)
+    m.put("long", "x" * 5000)
+    for k in range(5000):
+        m.put(f"key{k}", b"v" * 50)
+    assert "long" not in m and len(m) + len(m.old) < 1500 and m.recalled("key4999") == b"v" * 50 and m.recalled("key0") is None
+
+
+def test_token_queries_whole(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    word = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in bpe.op9_bpe(spark, SF).collect():
+        ids = word.encode(texts[r.doc_id], add_special_tokens=False).ids
+        said = word.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
+    byte = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    check_pieces(packing.op6_packing(spark, SF).collect(), {i: [*byte.encode(t, add_special_tokens=False).ids, 0] for i, t in texts.items()})
+
+
+def check_pieces(pieces, tokens):
+    """Every token of each document lies in one piece, and sequences are filled without gaps."""
+    met = {}
+    for p in pieces:
+        own = tokens[p.doc_id][p.start : p.start + p.length]
+        assert len(own) == p.length > 0 and p.doc_tokens == len(tokens[p.doc_id]) and p.offset + p.length <= 1024
+        assert p.ids_crc32 == zlib.crc32(np.asarray(own, "<u4").tobytes())
+        met.setdefault(p.doc_id, []).append((p.start, p.length))
+    for i, ids in tokens.items():
+        assert sum(n for _, n in met[i]) == len(ids) and [a for a, _ in sorted(met[i])] == np.cumsum([0, *(n for _, n in sorted(met[i]))])[:-1].tolist()
+    places = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
+    assert [1024 * s + o for s, o, _ in places] == np.cumsum([0, *(n for *_, n in places)])[:-1].tolist()
+
+
+def test_nearest_query_whole(spark):
+    x = {r.vec_id: np.asarray(r.embedding, dtype=np.float64) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = {}
+    for r in ann.op10_nearest(spark, SF).orderBy("query_id", "rank").collect():
+        assert r.score == math.fsum((x[r.query_id] * x[r.vec_id]).tolist()) and r.vec_id != r.query_id
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    assert set(got) == {i for i in x if i % 20 == 0}
+    hit = 0
+    for q, rows in got.items():
+        assert [k for k, *_ in rows] == list(range(1, min(20, len(x) - 1) + 1)) and [(-s, i) for _, s, i in rows] == sorted((-s, i) for _, s, i in rows)
+        want = sorted((-math.fsum((x[q] * v).tolist()), i) for i, v in x.items() if i != q)[:20]
+        hit += len({i for _, i in want} & {i for *_, i in rows})
+    assert hit / sum(map(len, got.values())) >= 0.9
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 8))
@@ -360,6 +419,63 @@ def test_toxicity(spark):
     assert none.score("vile") < 0.5 and toxicity.scored(frame(spark, []), model).count() == 0
 
 
+def test_toxicity_query_whole(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fitted(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = toxicity.op1_toxicity(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        sentences = [w for s in re.split(r"[.!?\n]+", texts[r.doc_id].lower()) if (w := {*re.findall(r"[^\W_]+", s)})] or [set()]
+        clean = 1.0
+        for words in sentences:
+            z = model.bias - math.log(len(sentences)) + sum(model.words.get(w, 0) for w in words) + sum(model.words.get(b + "*", 0) for b in {w[:4] for w in words if len(w) > 4})
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        assert r.score == pytest.approx(1 - clean, abs=1e-9) and 0 <= r.score <= 1
+        assert r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_toxicity_of_long_texts(spark):
+    rng = random.Random(2)
+    words = [f"word{k}" for k in range(60)]
+    some = lambda: ". ".join(" ".join(rng.choice(words) for _ in range(6)) for _ in range(rng.choice([1, 3, 10])))
+    rows = [(i, some() + (". so vile of you" if i % 4 == 0 else "")) for i in range(400)]
+    rows += [(0, "")]  # an id that repeats
+    model = toxicity.fitted(frame(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    clean = [t for i, t in rows[:-1] if i % 4]
+    assert model.score(". ".join(clean[:20])) < 0.5 and model.score(". ".join(clean)) < 0.5 and model.score(". ".join(["x"] * 5000)) < 0.5
+    long = ". ".join(clean) + ". so vile of you"
+    assert model.score(long) >= 0.5 and [long[a:b] for a, b, _ in model.offending(long)] == [" so vile of you"]
+
+
+def test_pipeline_whole(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "scratch", lambda _, label: f"file://{tmp_path}/{label}")
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    kept = {n: {r.doc_id: r.text for r in spark.read.parquet(f"file://{tmp_path}/pipeline-{n}").collect()} for n, _ in corpus_pipeline.STAGES[:-1]}
+    assert [*kept["secret_scans"]] and kept["ngram_join"].keys() <= kept["line_dedup"].keys() <= kept["toxicity"].keys()
+    byte = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    check_pieces(pieces, {i: [*byte.encode(t or "", add_special_tokens=False).ids, 0] for i, t in kept["secret_scans"].items()})
+    # each stage keeps what the brute-force version of it keeps of its own input
+    assert kept["secret_scans"].keys() == kept["ngram_join"].keys() == {c for _, c in jaccard([*kept["line_dedup"].items()], 5, 4, 5).values()}
+    for i, t in kept["ngram_join"].items():
+        assert (kept["secret_scans"][i] == t) == (not any(len(m[r.group]) >= r.least for r in secrets.RULES for m in re.finditer("(?a)" + r.pattern, t or "")))
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, None, None, None, None), (None, "no id", "en", "s", 5), (2, "", "en", None, 0), (2, "twice " + LONG, None, "s", 1), (2, "twice " + LONG, None, "s", 1), (3, "secret=abcdefgh12", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit("own"), "id": F.lit(1), "start": F.lit(0)})
+    spark.createDataFrame([(3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or out.columns == corpus_pipeline.COLUMNS
+        assert out.count() == (6 if name != "packing" else sum(r.n for r in out.groupBy("doc_id", "start", "sequence_id").agg(F.count("*").alias("n")).collect())) and out.count() >= 6
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
