@@ -29,6 +29,11 @@ def cardinality(a: Column, dims: int = 1) -> Column:
     return F.size(a)
 
 
+def array_ndims(a: Column) -> Column:
+    """How many arrays are nested, which the type says; NULL for an empty one."""
+    return F.when(F.size(a) > 0, (F.length(F.regexp_extract(F.typeof(a), "^(array<)*", 0)) / 6).cast("int"))
+
+
 def array_lower(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.lit(1))
 
@@ -62,5 +67,10 @@ def contains(a: Column, b: Column) -> Column:
     return F.size(F.array_except(b, a)) == 0
 
 
+def contained(a: Column, b: Column) -> Column:
+    """a <@ b."""
+    return contains(b, a)
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return F.arrays_overlap(a, b)

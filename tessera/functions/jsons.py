@@ -65,5 +65,12 @@ def contains(large: pd.Series, small: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def pretty(j: pd.Series) -> pd.Series:
-    """Indented by four."""
-    return j.map(lambda x: None if x is None else json.dumps(json.loads(x), indent=4, ensure_ascii=False))
+    """Indented by four; NULL for what is no JSON."""
+
+    def one(x):
+        try:
+            return None if x is None else json.dumps(json.loads(x), indent=4, ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return j.map(one)

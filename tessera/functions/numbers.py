@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def trunc(x: Column, digits: int = 0) -> Column:
-    """Toward zero at so many digits."""
-    p = float(10**digits)
-    return F.signum(x) * F.floor(F.abs(x) * p) / p
+    """Toward zero at so many digits: round() reads a double by its shortest decimal, and a step back is taken where it went away from zero."""
+    r = F.round(x, digits)
+    return F.when(F.abs(r) > F.abs(x), F.round(r - F.signum(x) * F.lit(10.0**-digits), digits)).otherwise(r)
 
 
 def div(a: Column, b: Column) -> Column:
@@ -28,16 +31,21 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+@F.pandas_udf(T.LongType())
+def _gcd(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(np.gcd(a.to_numpy(np.int64), b.to_numpy(np.int64)))
+
+
 def gcd(a: Column, b: Column) -> Column:
-    """Euclid's steps folded over as many places as a 64-bit pair can need (92)."""
-    start = F.struct(F.abs(a.cast("long")).alias("x"), F.abs(b.cast("long")).alias("y"))
-    step = lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"), F.when(s["y"] == 0, F.lit(0).cast("long")).otherwise(s["x"] % F.nullif(s["y"], F.lit(0))).alias("y"))
-    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["x"]))
+    """Of 64-bit numbers, by whole Arrow batches: no built-in says it, and Euclid's steps as an expression are interpreted for each row."""
+    zero = F.lit(0).cast("long")
+    return F.when(a.isNotNull() & b.isNotNull(), _gcd(F.coalesce(a.cast("long"), zero), F.coalesce(b.cast("long"), zero)))
 
 
 def lcm(a: Column, b: Column) -> Column:
-    """0 if either is 0."""
-    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(a.cast("long") / F.nullif(gcd(a, b), F.lit(0)) * b).cast("long"))
+    """0 if either is 0; whole numbers all through, so one beyond 64 bits is an error."""
+    a, b = a.cast("long"), b.cast("long")
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(F.call_function("div", a, F.nullif(gcd(a, b), F.lit(0).cast("long"))) * b))
 
 
 def sign(x: Column) -> Column:

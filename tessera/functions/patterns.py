@@ -13,15 +13,17 @@ def _flagged(pattern: str, flags: str) -> str:
     return f"(?{own})" * bool(own) + pattern
 
 
-def regexp_replace(s: Column, pattern: str, new: str, flags: str = "") -> Column:
-    """The first match only, unless flags have g. Groups are \\1 to \\9."""
-    p, r = _flagged(pattern, flags), re.sub(r"\\(\d)", r"$\1", new)
-    return F.regexp_replace(s, p, r) if "g" in flags else _first(s, p, r)
+def _shifted(text: str, mark: str, by: int) -> str:
+    """Numbers of groups, written as a backslash and a digit, moved by so many; mark is written before them."""
+    return re.sub(r"(\\\\)|\\([1-9])", lambda m: m[1] or f"{mark}{int(m[2]) + by}", text)
 
 
-def _first(s: Column, p: str, r: str) -> Column:
-    at, hit = F.regexp_instr(s, F.lit(p)), F.regexp_substr(s, F.lit(p))
-    return F.when(at > 0, F.concat(F.substring(s, F.lit(1), at - 1), F.regexp_replace(hit, p, r), F.substring(s, at + F.length(hit), F.length(s)))).otherwise(s)
+def regexp_replace(s: Column, pattern: str, new: str, flags: str = "") -> Column:
+    """The first match only, unless flags have g. Groups are \\1 to \\9."""
+    if "g" in flags:
+        return F.regexp_replace(s, _flagged(pattern, flags), _shifted(new, "$", 0))
+    # what comes before the first match is a group of its own, so that the pattern sees the whole text around it
+    return F.regexp_replace(s, _flagged(rf"\A([\s\S]*?)(?:{_shifted(pattern, chr(92), 1)})", flags), "$1" + _shifted(new, "$", 1))
 
 
 def regexp_match(s: Column, pattern: str, flags: str = "") -> Column:

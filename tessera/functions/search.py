@@ -79,17 +79,42 @@ def _ends(vector: Column, q) -> Column:
     raise ValueError("<-> joins words, phrases and alternatives only")
 
 
-def matches(vector: Column, query: str) -> Column:
-    """vector @@ query."""
+def _needed(q) -> set[str]:
+    """Words that every match has."""
+    if isinstance(q, str):
+        return {q}
+    return _needed(q[1]) | _needed(q[2]) if q[0] in ("&", "<->") else set()
+
+
+def _words(q) -> set[str]:
+    return {q} if isinstance(q, str) else set().union(*map(_words, q[1:]))
+
 
-    def of(q) -> Column:
+def matches(vector: Column, query: str, text: Column | None = None) -> Column:
+    """vector @@ query. With the text that the vector is made of, vectors are made only of texts that have all words that a match needs.
+
+    The vector is named once, cut down to the words of the query.
+    """
+
+    def of(v: Column, q) -> Column:
         if isinstance(q, str) or q[0] == "<->":
-            return F.size(_ends(vector, q)) > 0
+            return F.size(_ends(v, q)) > 0
         if q[0] == "!":
-            return ~of(q[1])
-        return of(q[1]) & of(q[2]) if q[0] == "&" else of(q[1]) | of(q[2])
-
-    return of(parse(query)) if query.strip() else F.lit(False)
+            return ~of(v, q[1])
+        return of(v, q[1]) & of(v, q[2]) if q[0] == "&" else of(v, q[1]) | of(v, q[2])
+
+    if not query.strip():
+        return F.lit(False)
+    q = parse(query)
+    own = F.filter(vector, lambda x: x["lexeme"].isin(*sorted(_words(q))))
+    found = F.element_at(F.transform(F.array(own), lambda v: of(v, q)), 1)
+    if text is None or not _needed(q):
+        return found
+    low = F.lower(text)
+    has = None
+    for w in sorted(_needed(q)):
+        has = F.contains(low, F.lit(w)) if has is None else has & F.contains(low, F.lit(w))
+    return F.when(has, found).when(has.isNotNull(), F.lit(False))
 
 
 def ts_rank(vector: Column, query: str, weights: tuple[float, float, float, float] | None = None) -> Column:

@@ -12,7 +12,11 @@ class Sequences:
         self.last: int | None = None
 
     def create(self, name: str, start: int = 1, increment: int = 1) -> None:
-        self.all[name] = {"next": start, "by": increment, "now": None}
+        self.all[name] = {"next": start, "by": increment, "now": None, "start": start}
+
+    def restart(self, name: str) -> None:
+        """TRUNCATE ... RESTART IDENTITY: the next value is the first again."""
+        self.all[name] |= {"next": self.all[name]["start"]}
 
     def nextval(self, name: str) -> int:
         s = self.all[name]

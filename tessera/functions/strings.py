@@ -123,8 +123,14 @@ def encode(s: Column, kind: str) -> Column:
 
 
 def decode(s: Column, kind: str) -> Column:
-    """The bytes that hex or base64 stand for."""
-    return {"hex": F.unhex, "base64": F.unbase64}[kind](s)
+    """The bytes that hex, base64 or escape stand for."""
+    if kind == "escape":
+        parts = F.regexp_extract_all(s, F.lit(r"\\\\|\\[0-7]{3}|[^\\]"), F.lit(0))
+        one = lambda p: F.when(p == "\\\\", "5C").when(F.length(p) == 4, F.lpad(F.conv(F.substring(p, 2, 3), 8, 16), 2, "0")).otherwise(F.hex(p))
+        return F.unhex(F.array_join(F.transform(parts, one), ""))
+    if kind not in ("hex", "base64"):
+        raise ValueError(f"no encoding {kind}")
+    return F.unhex(s) if kind == "hex" else F.unbase64(s)
 
 
 def similar_to(s: Column, pattern: str) -> Column:

@@ -25,6 +25,29 @@ def extract(field: str, t: Column) -> Column:
 date_part = extract
 
 
+def now() -> Column:
+    """The time at which the query began, which Spark fixes for all rows; also that of the transaction and the statement, as each query is its own."""
+    return F.current_timestamp()
+
+
+transaction_timestamp = statement_timestamp = clock_timestamp = current_timestamp = now
+
+
+def current_date() -> Column:
+    return F.current_date()
+
+
+def localtimestamp() -> Column:
+    return F.localtimestamp()
+
+
+def current_time() -> Column:
+    return F.date_format(now(), "HH:mm:ss")
+
+
+localtime = current_time
+
+
 def make_date(y: Column, m: Column, d: Column) -> Column:
     """NULL for a day that the month lacks."""
     return F.format_string("%04d-%02d-%02d", y, m, d).try_cast("date")
@@ -78,6 +101,11 @@ def interval(text: str, times: int = 1) -> Column:
     return F.make_interval(whole("years"), whole("months"), whole("weeks"), whole("days"), whole("hours"), whole("mins"), F.lit(p.get("secs", 0.0)).cast("decimal(18,6)"))
 
 
+def scaled(text: str, times: Column) -> Column:
+    """An interval times a number of each row."""
+    return interval(text) * times
+
+
 def plus(t: Column, text: str, times: int = 1) -> Column:
     """A timestamp moved by an interval: months and days by the calendar, a day that the month lacks becoming its last."""
     return t + interval(text, times)

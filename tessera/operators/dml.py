@@ -73,5 +73,35 @@ def merge(target: DataFrame, source: DataFrame, keys: dict[str, str], matched: d
     return both.select(*[F.when(new, missing.get(c, F.lit(None))).when(met, sets.get(c, F.col(f"t.{c}"))).otherwise(F.col(f"t.{c}")).cast(target.schema[c].dataType).alias(c) for c in target.columns])
 
 
+def replace_into(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """REPLACE INTO: rows of the same keys go, the new ones come; of new rows that repeat their keys one stays."""
+    return delete_using(target, rows, {k: k for k in keys}).unionByName(rows.dropDuplicates(keys).select(*target.columns))
+
+
 def truncate(target: DataFrame) -> DataFrame:
+    """Without rows, with its columns; RESTART IDENTITY is Sequences.restart, and CASCADE is truncate of the tables that refer to it."""
     return target.limit(0)
+
+
+# RETURNING: the rows that a statement changed, as they are afterwards (deleted ones as they were)
+
+
+def insert_returning(target: DataFrame, rows: DataFrame, *returning: Column, defaults: dict[str, Column] | None = None) -> DataFrame:
+    return insert(target.limit(0), rows, defaults).select(*returning)
+
+
+def update_returning(target: DataFrame, sets: dict[str, Column], where: Column, *returning: Column) -> DataFrame:
+    return update(target.where(F.coalesce(where, F.lit(False))), sets).select(*returning)
+
+
+def update_from_returning(target: DataFrame, source: DataFrame, keys: dict[str, str], sets: dict[str, Column], first: list[Column], *returning: Column) -> DataFrame:
+    hit = target.alias("t").join(source.alias("s"), [F.col(f"t.{a}") == F.col(f"s.{b}") for a, b in keys.items()], "left_semi")
+    return update_from(hit, source, keys, sets, first).select(*returning)
+
+
+def delete_returning(target: DataFrame, where: Column, *returning: Column) -> DataFrame:
+    return target.where(F.coalesce(where, F.lit(False))).select(*returning)
+
+
+def delete_using_returning(target: DataFrame, source: DataFrame, keys: dict[str, str], *returning: Column) -> DataFrame:
+    return target.alias("t").join(source.alias("s"), [F.col(f"t.{a}") == F.col(f"s.{b}") for a, b in keys.items()], "left_semi").select(*returning)

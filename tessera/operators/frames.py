@@ -39,3 +39,16 @@ def extreme_excluding_current(df: DataFrame, partition: list[str], value: str, l
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     second = F.nth_value(value, 2).over(whole)
     return df.select(*df.columns, F.when(F.row_number().over(w) == 1, second).otherwise(F.first(value).over(whole)).alias("best"))
+
+
+def values_excluding(df: DataFrame, partition: list[str], key: str, row: str, value: str, exclude: str, frame: WindowSpec) -> DataFrame:
+    """n, total, low, high, first and last of value over any frame ordered by key, without CURRENT ROW, its GROUP of peers, or its TIES; row names rows apart.
+
+    Extremes can't be subtracted, so a row's frame is held as a list: its state is as long as the frame. For whole partitions use excluding().
+    """
+    items = F.collect_list(F.struct(F.col(key).alias("k"), F.col(row).alias("r"), F.col(value).alias("v"))).over(frame)
+    keep = {"NO OTHERS": lambda x: F.lit(True), "CURRENT ROW": lambda x: x["r"] != F.col(row), "GROUP": lambda x: ~x["k"].eqNullSafe(F.col(key)), "TIES": lambda x: ~x["k"].eqNullSafe(F.col(key)) | (x["r"] == F.col(row))}[exclude]
+    held = df.withColumn("_frame", items).withColumn("_v", F.transform(F.filter("_frame", keep), lambda x: x["v"]))
+    some = F.array_compact("_v")
+    total = F.when(F.size(some) > 0, F.aggregate(some, F.lit(0).cast("double"), lambda s, x: s + x))
+    return held.select(*df.columns, F.size(some).cast("long").alias("n"), total.alias("total"), F.array_min("_v").alias("low"), F.array_max("_v").alias("high"), F.get("_v", F.lit(0)).alias("first"), F.get("_v", F.size("_v") - 1).alias("last"))

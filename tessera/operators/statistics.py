@@ -13,6 +13,11 @@ def column_statistics(df: DataFrame, column: str, bounds: int = 4) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(c.isNull()).alias("nulls"), F.countDistinct(c).alias("ndistinct"), F.min(c).alias("low"), F.max(c).alias("high"), F.percentile_approx(c, at, 10000).alias("histogram"))
 
 
+def distinct_groups(df: DataFrame, *columns: str) -> DataFrame:
+    """How many different combinations some columns have, beside the product of each one's: what a planner would guess without statistics of several columns."""
+    return df.agg(F.countDistinct(F.struct(*columns)).alias("combinations"), *[F.countDistinct(c).alias(f"of_{c}") for c in columns])
+
+
 def most_common(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """The n commonest values with their frequencies."""
     total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_all")))
