@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import benchmark, functions, relational
+from tessera.plans import benchmark, functions, relational, statements
 
-MODULES = [benchmark, relational, functions]
+MODULES = [benchmark, relational, functions, statements]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

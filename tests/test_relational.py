@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import search, strings, times
+from tessera.functions import arrays, checked, jsons, numbers, patterns, search, strings, times
 from tessera.functions.sequences import Sequences
-from tessera.operators import constraints, dml, frames, quantified, rows, statistics
+from tessera.operators import asof, constraints, dml, frames, policies, quantified, routines, rows, statistics
 from tessera.plans import registry
 from tessera.sources import files
 from tessera.sources.tables import TABLES
@@ -156,6 +156,59 @@ def test_stream(spark, tmp_path):
     assert changes.published(feed, ["t"]).count() == 1
 
 
+def test_routines(spark):
+    c = routines.Cursor(spark.range(10).orderBy("id"))
+    assert ([r.id for r in c.fetch(2)], c.move(3), [r.id for r in c.fetch()], c.move(99)) == ([0, 1], 3, [5], 4)
+    c.close()
+    with pytest.raises(ValueError):
+        c.fetch()
+    p = routines.Procedures()
+    p.create("twice", lambda x: 2 * x)
+    assert p.call("twice", 4) == 8
+    with pytest.raises(ValueError):
+        p.create("twice", int)
+    with pytest.raises(LookupError):
+        p.call("none")
+    quoted = routines.Prepared(spark, "SELECT $1 AS a, $2 AS b").execute("x' OR '1'='1", 2).first()
+    assert tuple(quoted) == ("x' OR '1'='1", 2)
+    t, seen = routines.Triggers(), []
+    t.create("after", "delete", lambda old, new: seen.append((old.count(), new.count())))
+    t.create("instead", "update", lambda old, rows: old.limit(1))
+    d = spark.range(4)
+    assert t.run("delete", d, d.limit(0), lambda x, _: dml.delete(x, F.col("id") > 1)).count() == 2 and seen == [(4, 2)]
+    assert t.run("update", d, d, lambda x, _: x).count() == 1
+    with pytest.raises(ValueError):
+        t.create("during", "insert", print)
+    s = policies.Secured(d, "owner", [policies.Policy(F.col("id") < 2, roles=("a",))])
+    assert [s.read(r).count() for r in ("owner", "a", "b")] == [4, 2, 0]
+    s.forced = True
+    assert s.read("owner").count() == 0 and s.refused("a", d).count() == 2
+
+
+def test_asof(spark):
+    a = spark.createDataFrame([(1, 5, "x"), (1, 1, "y"), (2, 9, "z"), (None, 9, "n"), (1, None, "m")], "k int, at int, l string")
+    b = spark.createDataFrame([(1, 5, "p"), (1, 5, "q"), (1, 2, "o"), (2, None, "r"), (None, 1, "s")], "k int, at int, r string")
+    assert sorted((r.l, r.r) for r in asof.asof_join(a, b, "k", "at").collect()) == [("m", None), ("n", None), ("x", "q"), ("y", None), ("z", None)]
+
+
+def test_number_and_pattern_edges(spark):
+    get = lambda c: spark.range(1).select(c.alias("v")).first().v
+    assert [get(numbers.trunc(F.lit(x), 2)) for x in (0.29, -0.299, 1e20, 1.005, 0.0)] == [0.29, -0.29, 1e20, 1.0, 0.0]
+    assert get(numbers.trunc(F.lit(-2.7))) == -2.0
+    assert get(numbers.lcm(F.lit(9007199254740993), F.lit(1))) == 9007199254740993 and get(numbers.lcm(F.lit(0), F.lit(5))) == 0
+    assert get(numbers.gcd(F.lit(-12), F.lit(18))) == 6 and get(numbers.gcd(F.lit(None).cast("long"), F.lit(1))) is None
+    assert get(patterns.regexp_replace(F.lit("foobar foobar"), "foo(?=bar)", "X")) == "Xbar foobar"
+    assert get(patterns.regexp_replace(F.lit("xaab bb"), r"(?<=x)(a)\1(b)", r"\2\1")) == "xba bb"
+    assert get(patterns.regexp_replace(F.lit("no\nOne"), "o", "0", "i")) == "n0\nOne" and get(patterns.regexp_replace(F.lit("abc"), "z", "0")) == "abc"
+    assert get(strings.decode(strings.encode(F.lit("é\\ \x01"), "escape"), "escape").cast("string")) == "é\\ \x01"
+    assert get(jsons.pretty(F.lit("{no"))) is None and get(jsons.pretty(F.lit("[1]"))) == "[\n    1\n]"
+    assert get(arrays.array_ndims(F.array(F.array(F.lit(1))))) == 2 and get(arrays.array_ndims(F.array().cast("array<int>"))) is None
+    assert get(checked.canonical(F.lit("256.1.1.1"), "inet")) is None and get(checked.in_network(F.lit("192.168.1.9"), F.lit("192.168.1.0/24")))
+    assert get(checked.canonical(F.lit("< (1, 2), 3 >"), "circle")) == "<(1,2),3>"
+    vector = search.to_tsvector(F.lit("a fat cat sat"))
+    assert get(search.matches(vector, "fat <-> cat & !dog", F.lit("a fat cat sat"))) and not get(search.matches(vector, "cat <-> fat", F.lit("a fat cat sat")))
+
+
 def test_text_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("v")).first().v
