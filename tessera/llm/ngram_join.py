@@ -33,6 +33,8 @@ WORDS = 8
 #: Rows of a posting's band of sizes that all its rows meet in a round, and the most rounds; what they leave is met in full, so the result doesn't depend on them.
 PIVOTS = 4
 ROUNDS = 2
+#: The longest postings whose pairs are met without parity bits: so many pairs a row at most.
+WIDE = 32
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -304,9 +306,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
         tried, found = tried.union(met), merged(found, more_links)
         # postings of one component stay so
         rows = in_mixed_postings(rows.drop("comp", "top", "of"), found)
-    few = rows.where("comp <> top").select("token", *side("x"))
-    second = by_bits(untried(salted_join(rows.select("token", *side("y")), few, ["token"], "inner", F.col("y"), rows)), bits, num, den)
-    final = merged(found, verified(second, docs, n, num, den))
+    # a long posting's pairs are met with their parity bits, a short one's get them afterwards
+    long_ = written(salted_join(rows.where(F.col("of") > WIDE), bits.select("rep", "bits"), ["rep"], "inner", F.col("token"), rows), "ngram-long")
+    wide = lambda v: [*side(v), F.col("bits").alias(f"b{v}")]
+    met = salted_join(long_.select("token", *wide("y")), long_.where("comp <> top").select("token", *wide("x")), ["token"], "inner", F.col("y"), long_).where(f"{fits(num, den)} AND {near(num, den)}").select("x", "sx", "px", "cx", "y", "sy", "py", "cy")
+    short = written(rows.where(F.col("of") <= WIDE), "ngram-short")
+    met = met.union(salted_join(short.select("token", *side("y")), short.where("comp <> top").select("token", *side("x")), ["token"], "inner", F.col("y"), short).select(*met.columns))
+    final = merged(found, verified(by_bits(untried(met), bits, num, den), docs, n, num, den))
     # copies have the component of their class
     copies = classes.where("n > 1").select("set", "rep")
     own = written(salted_join(every.select("id", "size", "set"), copies, ["set"], "left", F.col("id")).select("id", "size", F.coalesce("rep", "id").alias("rep")), "ngram-own")
