@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, ngram_join, packing, secrets, toxicity
-from tessera.llm.common import scratch, table
+from tessera.llm.common import scratch, small_or_shuffled, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,7 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words and rows without an id stay; rows that repeat an id are one document and stay or go together; no rows give no rows.
     """
     found = ngram_join.near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"))
-    goers = found.where("id <> component_id").select(F.col("id").alias("doc_id"))
+    # texts are shuffled only where the ids that go are too many to send to every worker
+    goers, _ = small_or_shuffled(written(found.where("id <> component_id").select(F.col("id").alias("doc_id")), "pipeline-goers"))
     return docs.select(*COLUMNS).join(goers, "doc_id", "left_anti")
 
 
