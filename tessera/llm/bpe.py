@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tessera.llm.common import table
+from tessera.llm.common import byte_batches, table
 from tessera.llm.memory import Memory
 from tessera.llm.ragged import gather, is_uncertain, slices, words
 
@@ -204,6 +204,7 @@ def word_bpe(path: str) -> WordBpe:
 
 def encoded(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text_col: str = "text") -> DataFrame:
     """docs with ids (little-endian unsigned 32-bit, binary) and decoded. Null counts as empty text, which has no tokens. No rows give no rows. Own columns of those names are replaced."""
+    byte_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("ids", "decoded")]
     plain = docs.select(*[docs[c] for c in own], F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     schema = T.StructType([docs.schema[c] for c in own] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])

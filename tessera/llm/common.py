@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that the numbers of a broadcast side may have, before Spark's own overhead.
 BROADCAST_BYTES = 24_000_000
+#: Bytes of an Arrow batch: what a task's JVM and its Python worker hold of the rows at once, but for a row that is longer.
+BATCH_BYTES = 2**22
 #: The fewest parts that a table is thought of as dealt to: a key is hot if it has more rows than such a part.
 PARTS = 256
 #: Rows under which a key is never hot, and the most tasks that the rows of one key are dealt to.
@@ -47,9 +49,17 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def byte_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on the session sends Python workers batches of so many bytes, not only of a number of rows, whose texts may be of any length; a session that has set this bound keeps its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(most))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage, and a lost executor costs only the reading of its files again. Its rows are counted on the way."""
     path, seen = scratch(df.sparkSession, label), Observation()
+    byte_batches(df.sparkSession)
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.rows_written = seen.get["n"]

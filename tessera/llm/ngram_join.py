@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, row_count, salted_join, small_or_shuffled, table, written
+from tessera.llm.common import byte_batches, components, row_count, salted_join, small_or_shuffled, table, written
 
 #: Buckets of the sketch that orders n-grams: its size is fixed, 8 bytes a bucket, and it is sent to every worker.
 BUCKETS = 2**20
@@ -80,6 +80,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
     schema = "chunk int, salt int, counts binary"
     part = docs.select("text").mapInArrow(count, schema).repartition("chunk", "salt").mapInArrow(add, schema)
+    byte_batches(docs.sparkSession)
     rows = part.withColumn("salt", F.lit(0)).repartition("chunk").mapInArrow(add, schema).collect()
     out = np.zeros((CHUNKS, BUCKETS // CHUNKS), dtype=np.int64)
     for r in rows:

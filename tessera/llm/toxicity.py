@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import byte_batches, table, written
 
 #: The bound of the labelled sample that weights are fitted to: documents of either label, and code points of all (whole documents, in the order of hashed ids, as long as they fit).
 FIT_DOCS = 1500
@@ -159,6 +159,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     Whole texts are read; null counts as empty. Own columns of those names are replaced, rows that repeat stay, no rows give no rows.
     """
+    byte_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
